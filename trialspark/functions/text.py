@@ -43,12 +43,12 @@ def percent_halfup(part: Column, total: Column) -> Column:
 
 
 def percent_half_even(share: Column) -> Column:
-    return F.format_number(share, "0%")
+    return F.call_function("format_number", share, F.lit("0%"))
 
 
 def fixed(number: Column, places: int) -> Column:
     """Fixed places, halves of the exact double to even."""
-    return F.format_number(number, "0." + "0" * places if places else "0")
+    return F.call_function("format_number", number, F.lit("0." + "0" * places if places else "0"))
 
 
 def round_dp(number: Column, places: int) -> Column:

@@ -31,6 +31,12 @@ def path_under(path: Column, prefix: Column) -> Column:
     return (path == base) | F.startswith(path, F.concat(base, F.lit("/")))
 
 
+def directly_in(path: Column, folder: str, pattern: str) -> Column:
+    """Files of a folder, not of its sub-folders, whose name matches a pattern with * and ?."""
+    shape = "".join({"*": "[^/]*", "?": "[^/]"}.get(c, "\\Q" + c + "\\E") for c in pattern)
+    return path.rlike("^\\Q" + folder.rstrip("/") + "\\E/" + shape + "$")
+
+
 def parse_lines(lines: DataFrame, line: str = "value") -> DataFrame:
     """'K path' lines to kind and path; anything else is left out."""
     shape = "(?s)^([ACD]) (.+)$"

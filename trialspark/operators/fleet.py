@@ -41,7 +41,7 @@ def dead_workers(leases: DataFrame, heartbeats: DataFrame, now: Column,
                  ttl_seconds: int = C.HEARTBEAT_SECONDS) -> DataFrame:
     """Workers with leases whose last heartbeat is too old or missing."""
     holders = leases.groupBy("worker").agg(F.count(F.lit(1)).alias("held"))
-    last = heartbeats.groupBy("worker").agg(F.max("at").alias("last_beat"))
+    last = heartbeats.groupBy("worker").agg(F.max("us").alias("last_beat"))
     joined = holders.join(last, "worker", "left")
     gone = F.coalesce(F.col("last_beat") <= now - ttl_seconds * 1_000_000, F.lit(True))
     return joined.where(gone).select("worker", "held", "last_beat")

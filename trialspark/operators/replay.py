@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.text import strip
+from ..functions.text import fixed, strip
 from ..plans import ordered
 
 KEY = ["trial_id"]
@@ -75,20 +75,18 @@ def step_cap(calls: DataFrame, max_steps: int, hot_rows: int | None = None) -> D
 
 
 def stop_reasons(replies: DataFrame, calls: DataFrame, max_steps: int = C.MAX_STEPS,
-                 budget: int = C.TOKEN_BUDGET, hot_rows: int | None = None) -> DataFrame:
+                 budget: int = C.TOKEN_BUDGET) -> DataFrame:
     """Where and why each trial stops: the earliest rule wins.
 
     replies(trial_id, reply, tokens, failed, violated_before, n_calls),
     calls(trial_id, reply, call, name, command, exit_code, violated). No trial goes beyond
-    `max_steps` replies, so later ones are cut before anything is shuffled.
+    `max_steps` replies, so later ones are cut before anything is shuffled, which bounds
+    every group: plain windows do.
     """
+    hot_rows = ordered.BOUNDED
     replies = replies.where(F.col("reply") <= max_steps)
     calls = calls.where(F.col("reply") <= max_steps)
 
-    def stop(rows: DataFrame, when: Column, reply: Column, phase: int, call: Column, rank: int, reason: str) -> DataFrame:
-        return rows.where(when).select("trial_id", reply.cast("bigint").alias("reply"), F.lit(phase).alias("phase"),
-                                       call.cast("bigint").alias("call"), F.lit(rank).alias("rank"),
-                                       F.lit(reason).alias("reason"))
     none, at, nth = F.lit(0), F.col("reply"), F.col("call")
     # One pass over the replies yields every reply rule at once, and likewise for calls.
     told = nudges(token_use(replies, budget, hot_rows), hot_rows)
@@ -103,8 +101,8 @@ def stop_reasons(replies: DataFrame, calls: DataFrame, max_steps: int = C.MAX_ST
     done = (capped.where(is_run)
             .withColumn("idx", F.col("run_before") + 1)
             .select("trial_id", "reply", "call", "idx", "command", "exit_code"))
-    stuck = stop(loop_guard(done, ["idx"], F.col("idx"), STEP_WIDTH, hot_rows=hot_rows),
-                 F.col("stuck"), at, 3, nth, 3, "stuck")
+    guarded = loop_guard(done, ["idx"], F.col("idx"), STEP_WIDTH, hot_rows=hot_rows)
+    stuck = _fired(guarded, F.array(_rule(F.col("stuck"), 3, nth, 3, "stuck")))
     by_call = F.array(
         _rule(F.col("capped"), 3, nth, 0, "max_steps"),
         _rule(F.col("name") == "finish", 3, nth, 1, "finished"),
@@ -137,31 +135,32 @@ def first_thoughts(calls: DataFrame) -> DataFrame:
 
 
 def watchdog(samples: DataFrame, trial_timeout: int, disk_limit_mb: int) -> DataFrame:
-    """First breach per trial from (trial_id, at, disk_mb); time is checked before disk.
+    """First breach per trial from (trial_id, us, disk_mb); time is checked before disk.
 
     The start is the first sample. Starts are one row per trial and meet the samples in an
     inner join, whose hot partitions adaptive execution splits; the rest are aggregates.
     """
-    starts = samples.groupBy("trial_id").agg(F.min("at").alias("start"))
-    late = (F.col("at") - F.col("start")) >= trial_timeout * 1_000_000
+    starts = samples.groupBy("trial_id").agg(F.min("us").alias("start"))
+    late = (F.col("us") - F.col("start")) >= trial_timeout * 1_000_000
     full = F.col("disk_mb") > disk_limit_mb
-    size = F.format_number(F.col("disk_mb"), "0")
+    size = fixed(F.col("disk_mb"), 0)
     reason = (F.when(late, F.lit(f"trial exceeded the {trial_timeout}s time limit"))
               .otherwise(F.concat(F.lit("disk usage reached "), size, F.lit(f" MB (limit {disk_limit_mb} MB)"))))
     return (samples.join(starts, "trial_id").where(late | full).withColumn("reason", reason)
-            .groupBy("trial_id").agg(F.min("at").alias("at"), F.min_by("reason", F.struct("at", "reason")).alias("reason")))
+            .groupBy("trial_id").agg(F.min("us").alias("us"), F.min_by("reason", F.struct("us", "reason")).alias("reason")))
 
 
 def running_peak(samples: DataFrame, width: int, hot_rows: int | None = None) -> DataFrame:
-    return ordered.running(samples, KEY, ["at"], F.col("at"), width, {"peak_mb": ("max", F.col("disk_mb"))},
+    return ordered.running(samples, KEY, ["us"], F.col("us"), width, {"peak_mb": ("max", F.col("disk_mb"))},
                            hot_rows=hot_rows)
 
 
-def timeline(steps: DataFrame, speed: int = 1, hot_rows: int | None = None, width: int = STEP_WIDTH) -> DataFrame:
+def timeline(steps: DataFrame, order: list[str], position: Column, width: int, speed: int = 1,
+             hot_rows: int | None = None) -> DataFrame:
     """When each step appears in a replay, and how long its recorded frame is held."""
-    nxt = ordered.neighbour(steps, KEY, ["idx"], F.col("idx"), width, "_next", F.col("at"), following=True,
+    nxt = ordered.neighbour(steps, KEY, order, position, width, "_next", F.col("us"), following=True,
                             hot_rows=hot_rows)
-    hold = (F.col("_next") - F.col("at")) / F.lit(1_000_000.0)
+    hold = (F.col("_next") - F.col("us")) / F.lit(1_000_000.0)
     return (nxt.withColumn("shown_at", F.col("idx") * F.lit(C.REPLAY_SECONDS) / F.lit(speed))
             .withColumn("hold", F.coalesce(hold, F.lit(C.LAST_FRAME_SECONDS))).drop("_next"))
 
@@ -169,7 +168,7 @@ def timeline(steps: DataFrame, speed: int = 1, hot_rows: int | None = None, widt
 def dedupe_steps(arrivals: DataFrame) -> DataFrame:
     """The first arrival of each step index."""
     rest = [c for c in arrivals.columns if c not in ("trial_id", "idx")]
-    return (arrivals.groupBy("trial_id", "idx").agg(F.min_by(F.struct(*rest), F.struct("at", "event_id")).alias("r"))
+    return (arrivals.groupBy("trial_id", "idx").agg(F.min_by(F.struct(*rest), F.struct("us", "event_id")).alias("r"))
             .select("trial_id", "idx", "r.*"))
 
 

@@ -131,11 +131,21 @@ def verdicts(tried: DataFrame) -> DataFrame:
     return facts.select("task", "passes", "oracles", "noop", "avg_seconds", verdict.alias("verdict"))
 
 
-def false_success(trials: DataFrame) -> DataFrame:
+def false_success(trials: DataFrame, *by: str) -> DataFrame:
+    """Trials that called finish, and those of them that were not solved."""
     claimed = F.count_if("finished")
     wrong = F.count_if(F.col("finished") & ~F.col("passed"))
-    return trials.agg(claimed.alias("finished"), wrong.alias("not_solved"),
-                      F.try_divide(wrong, claimed).alias("share"))
+    return trials.groupBy(*by).agg(claimed.alias("finished"), wrong.alias("not_solved"),
+                                   F.try_divide(wrong, claimed).alias("share"))
+
+
+def token_totals(usage: DataFrame) -> DataFrame:
+    """Tokens and model calls per trial; a missing count is zero."""
+    zero = F.lit(0).cast("bigint")
+    return usage.groupBy("trial_id").agg(
+        F.sum(F.coalesce("prompt", zero)).alias("prompt_tokens"),
+        F.sum(F.coalesce("completion", zero)).alias("completion_tokens"),
+        F.count_if("call").alias("llm_calls"))
 
 
 def showcase_trial(trials: DataFrame) -> DataFrame:
@@ -154,40 +164,43 @@ def recent_runs(runs: DataFrame, limit: int = 50) -> DataFrame:
     return runs.orderBy(F.col("created_at").desc(), "run_id").limit(limit)
 
 
-def top_spender(customers: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
-    """Largest total of paid orders of 2025, by customer id (names repeat).
+def top_spender(customers: DataFrame, orders: DataFrame, items: DataFrame, year: int = 2025) -> DataFrame:
+    """Largest total of the year's paid orders, by customer id (names repeat).
 
     customers(id, name), orders(id, customer_id, placed_at, status), items(order_id, price_cents, quantity).
     """
-    in_year = (F.col("placed_at") >= "2025-01-01") & (F.col("placed_at") < "2026-01-01")
-    return spend(customers, orders.where((F.col("status") == "paid") & in_year), items)\
-        .orderBy(F.col("total").desc(), "id").limit(1)
+    in_year = (F.col("placed_at") >= f"{year}-01-01") & (F.col("placed_at") < f"{year + 1}-01-01")
+    paid = orders.where((F.col("status") == "paid") & in_year)
+    return spend(customers, paid, items).orderBy(F.col("total").desc(), "id").limit(1)
 
 
 def spend(customers: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
-    """Total per customer. Items are summed per order and per customer before each join."""
-    per_order = items.groupBy(F.col("order_id").alias("oid")).agg(F.sum(F.col("price_cents") * F.col("quantity")).alias("cents"))
-    per_customer = (orders.join(per_order, orders["id"] == per_order["oid"])
-                    .groupBy(F.col("customer_id").alias("cid")).agg(F.sum("cents").alias("total")))
-    return customers.join(per_customer, customers["id"] == per_customer["cid"]).select("id", "name", "total")
+    """Total per customer. Totals shrink to one row per customer before names are joined."""
+    bought = orders.join(items, orders["id"] == items["order_id"])
+    totals = (bought.groupBy(F.col("customer_id").alias("cid"))
+              .agg(F.sum(F.col("price_cents") * F.col("quantity")).alias("total")))
+    return customers.join(totals, customers["id"] == totals["cid"]).select("id", "name", "total")
+
+
+def amount(quantity: str, price: str) -> Column:
+    return F.col(quantity).cast("decimal(18,4)") * F.col(price).cast("decimal(18,6)")
 
 
 def region_revenue(sales: DataFrame) -> DataFrame:
-    """Revenue per region from region, quantity, price; the sum is exact."""
+    """Revenue per region, from (region, amount), sorted by name; the sum is exact."""
     from ..functions.text import fixed
-    amount = F.col("quantity").cast("decimal(18,4)") * F.col("price").cast("decimal(18,6)")
-    return (sales.groupBy("region").agg(F.sum(amount).alias("revenue"))
+    return (sales.groupBy("region").agg(F.sum("amount").cast("decimal(30,2)").alias("revenue"))
             .withColumn("line", F.concat("region", F.lit(": "), fixed(F.col("revenue"), 2)))
             .orderBy("region"))
 
 
 def file_growth(sizes: DataFrame, hot_rows: int | None = None, width: int = 3_600_000_000) -> DataFrame:
-    """Bytes added per source and restarts seen as gaps above one second, from (source, at, seq, size)."""
+    """Bytes added per source and restarts seen as gaps above one second, from (source, us, seq, size)."""
     from ..plans.ordered import neighbour
-    pairs = neighbour(sizes, ["source"], ["at", "seq"], F.col("at"), width, "_before",
-                      F.struct("size", "at"), hot_rows=hot_rows)
+    pairs = neighbour(sizes, ["source"], ["us", "seq"], F.col("us"), width, "_before",
+                      F.struct("size", "us"), hot_rows=hot_rows)
     delta = F.col("size") - F.col("_before.size")
-    gap = F.col("at") - F.col("_before.at")
+    gap = F.col("us") - F.col("_before.us")
     return pairs.groupBy("source").agg(
         F.coalesce(F.sum(F.when(delta > 0, delta)), F.lit(0)).alias("grown"),
         F.count_if(gap > 1_000_000).alias("restarts"), F.count(F.lit(1)).alias("samples"))

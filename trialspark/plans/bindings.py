@@ -1,6 +1,6 @@
 """The trial domain seen in the driver's tables: one Spark view and one SQL text per relation.
 
-Everything covers whole tables. Times are whole microseconds (`at`), so both engines agree.
+Everything covers whole tables. Times are whole microseconds (`us`), so both engines agree.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import grading
-from .ordered import numbered
+from .ordered import chunked, numbered
 
 HOUR = 3_600_000_000
 
@@ -35,28 +35,32 @@ def with_views(names: str, query: str) -> str:
 def clicks(spark: SparkSession, sf: str) -> DataFrame:
     """events with times in microseconds."""
     return table(spark, sf, "events").select(
-        F.col("user_id").alias("trial_id"), micros("ts").alias("at"), "event_id", "event_type", "value", "props")
+        F.col("user_id").alias("trial_id"), micros("ts").alias("us"), "event_id", "event_type", "value", "props")
 
 
-SQL["clicks"] = "SELECT user_id AS trial_id, epoch_us(ts) AS at, event_id, event_type, value, props FROM events"
+SQL["clicks"] = "SELECT user_id AS trial_id, epoch_us(ts) AS us, event_id, event_type, value, props FROM events"
 
 
 def raw_steps(spark: SparkSession, sf: str) -> DataFrame:
     """Recorded commands, before numbering. Every other command ends in a blank."""
     kind = F.col("event_type")
     return clicks(spark, sf).select(
-        "trial_id", "at", "event_id",
+        "trial_id", "us", "event_id",
         F.concat(kind, F.when(F.col("event_id") % 2 == 0, " ").otherwise("")).alias("command"),
         F.when(kind == "error", 1).when(kind != "signup", 0).cast("int").alias("exit_code"),
         F.col("value").alias("duration"), F.col("props").alias("output"))
 
 
-def steps(spark: SparkSession, sf: str) -> DataFrame:
-    return numbered(raw_steps(spark, sf), ["trial_id"], ["at", "event_id"], F.col("at"), HOUR, "idx")
+def steps(spark: SparkSession, sf: str, cut: bool = False) -> DataFrame:
+    """Numbered commands. `cut` keeps the chunk columns, for more ordered work without a shuffle."""
+    raw = raw_steps(spark, sf)
+    if cut:
+        raw = chunked(raw, ["trial_id"], F.col("us"), HOUR)
+    return numbered(raw, ["trial_id"], ["us", "event_id"], F.col("us"), HOUR, "idx")
 
 
 SQL["steps"] = """
-  SELECT user_id AS trial_id, epoch_us(ts) AS at, event_id,
+  SELECT user_id AS trial_id, epoch_us(ts) AS us, event_id,
          concat(event_type, CASE WHEN event_id % 2 = 0 THEN ' ' ELSE '' END) AS command,
          CASE WHEN event_type = 'error' THEN 1 WHEN event_type <> 'signup' THEN 0 END AS exit_code,
          value AS duration, props AS output,
@@ -65,31 +69,31 @@ SQL["steps"] = """
 
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
-    return clicks(spark, sf).select("trial_id", "at", F.col("value").alias("disk_mb"))
+    return clicks(spark, sf).select("trial_id", "us", F.col("value").alias("disk_mb"))
 
 
-SQL["samples"] = "SELECT user_id AS trial_id, epoch_us(ts) AS at, value AS disk_mb FROM events"
+SQL["samples"] = "SELECT user_id AS trial_id, epoch_us(ts) AS us, value AS disk_mb FROM events"
 
 
 def leases(spark: SparkSession, sf: str) -> DataFrame:
     return (clicks(spark, sf).where(F.col("event_type") == "error")
-            .select(F.col("trial_id").alias("worker"), F.col("event_id").alias("trial_id"), F.col("at").alias("seq")))
+            .select(F.col("trial_id").alias("worker"), F.col("event_id").alias("trial_id"), F.col("us").alias("seq")))
 
 
 def heartbeats(spark: SparkSession, sf: str) -> DataFrame:
     return (clicks(spark, sf).where(F.col("event_type") != "error")
-            .select(F.col("trial_id").alias("worker"), "at"))
+            .select(F.col("trial_id").alias("worker"), "us"))
 
 
 SQL["leases"] = "SELECT user_id AS worker, event_id AS trial_id, epoch_us(ts) AS seq FROM events WHERE event_type = 'error'"
-SQL["heartbeats"] = "SELECT user_id AS worker, epoch_us(ts) AS at FROM events WHERE event_type <> 'error'"
+SQL["heartbeats"] = "SELECT user_id AS worker, epoch_us(ts) AS us FROM events WHERE event_type <> 'error'"
 
 
 def replies(spark: SparkSession, sf: str) -> DataFrame:
     """One model reply per event, with the calls it holds and what happened."""
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.col("event_type")
-    numbered_rows = numbered(clicks(spark, sf), ["trial_id"], ["at", "event_id"], F.col("at"), HOUR, "reply")
+    numbered_rows = numbered(clicks(spark, sf), ["trial_id"], ["us", "event_id"], F.col("us"), HOUR, "reply")
     return numbered_rows.select(
         "trial_id", "reply", k.alias("k"), kind.alias("kind"), (F.col("event_id") * 7 % 400).alias("tokens"),
         ((kind == "error") & (F.col("value") > 150)).alias("failed"),
@@ -230,21 +234,27 @@ SQL["runs"] = """
 
 # -- pages ----------------------------------------------------------------------
 
-def changes(spark: SparkSession, sf: str) -> DataFrame:
-    """File changes: a trial per host, a file per page, every directory above it as changed."""
-    path = F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1)
-    parts = F.split("path", "/")
-    pages = table(spark, sf, "pages").select(
+def page_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A changed file per page; its host is the trial."""
+    return table(spark, sf, "pages").select(
         F.regexp_extract("url", "^https?://([^/]+)", 1).alias("trial_id"), "page_id",
         F.when(F.col("url").contains("?"), "C").when(F.col("url").contains("#"), "D").otherwise("A").alias("kind"),
-        path.alias("path"), F.col("url").startswith("http:").alias("plain"))
+        F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1).alias("path"),
+        F.col("url").startswith("http:").alias("plain"))
+
+
+def changes(spark: SparkSession, sf: str) -> DataFrame:
+    """File changes in listing order: every directory above a file as changed, then the file."""
+    pages = page_files(spark, sf)
+    parts = F.split("path", "/")
     depth = F.size(parts)
-    files = pages.select("trial_id", (F.col("page_id") * 100 + depth).alias("ord"), "kind", "path", "plain")
-    above = (pages.where(depth > 2)
-             .withColumn("d", F.explode(F.sequence(F.lit(2), depth - 1)))
-             .select("trial_id", (F.col("page_id") * 100 + F.col("d")).alias("ord"), F.lit("C").alias("kind"),
-                     F.array_join(F.slice(parts, F.lit(1), F.col("d")), "/").alias("path"), "plain"))
-    return files.unionByName(above)
+    last = F.greatest(depth, F.lit(2))
+    each = pages.withColumn("d", F.explode(F.sequence(F.lit(2), last)))
+    leaf = F.col("d") == last
+    return each.select("trial_id", (F.col("page_id") * 100 + F.col("d")).alias("ord"),
+                       F.when(leaf, F.col("kind")).otherwise("C").alias("kind"),
+                       F.when(leaf, F.col("path")).otherwise(F.array_join(F.slice(parts, F.lit(1), F.col("d")), "/")).alias("path"),
+                       "plain")
 
 
 SQL["page_files"] = """

@@ -8,6 +8,9 @@ like a plain window. The join reuses the window's partitioning: no second shuffl
 
 The list of hot groups is broadcast. It cannot exceed rows / hot_rows entries.
 Groups with a null key are never cut; results are the same, only less parallel.
+
+Rows cut once with `chunked` can pass through several of these functions without another
+shuffle. Pass hot_rows=BOUNDED where every group is known to be small: that is a plain window.
 """
 
 from __future__ import annotations
@@ -17,8 +20,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 HOT_ROWS = 5_000_000
+BOUNDED = -1
 
 _FOLD = {
     "count": (F.count, F.sum),
@@ -34,6 +39,10 @@ def _matches(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]
 def chunked(df: DataFrame, keys: Sequence[str], position: Column, width: int,
             hot_rows: int | None = None) -> DataFrame:
     """Add `_hot` and `_chunk`. `position` is a whole number that grows with the ordering."""
+    if "_chunk" in df.columns:
+        return df
+    if hot_rows == BOUNDED:
+        return df.select("*", F.lit(False).alias("_hot"), F.lit(0).cast("bigint").alias("_chunk"))
     limit = HOT_ROWS if hot_rows is None else hot_rows
     hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
            .where(F.col("_rows") > limit)
@@ -45,7 +54,14 @@ def chunked(df: DataFrame, keys: Sequence[str], position: Column, width: int,
                          F.when(is_hot, start).otherwise(F.lit(0).cast("bigint")).alias("_chunk"))
 
 
-def _with_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _window(keys: Sequence[str], hot_rows: int | None) -> WindowSpec:
+    return Window.partitionBy(*keys) if hot_rows == BOUNDED else Window.partitionBy(*keys, "_chunk")
+
+
+def _with_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str], hot_rows: int | None) -> DataFrame:
+    if hot_rows == BOUNDED:
+        passed_on = [c for c in carry.columns if c not in (*keys, "_chunk")]
+        return local.select("*", *[F.lit(None).cast(carry.schema[c].dataType).alias(c) for c in passed_on])
     names = [*keys, "_chunk"]
     other = carry.select(*[F.col(k).alias(f"_c_{k}") for k in names],
                          *[F.col(c) for c in carry.columns if c not in names])
@@ -58,7 +74,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], position:
     """Running count / sum / max per group. `folds`: new column -> (kind, column)."""
     rows = chunked(df, keys, position, width, hot_rows)
     upto = 0 if through_current else -1
-    frame = (Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    frame = (_window(keys, hot_rows).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, upto))
     local = rows.select("*", *[_FOLD[kind][0](col).over(frame).alias(f"_l_{name}")
                                for name, (kind, col) in folds.items()])
@@ -68,7 +84,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], position:
                .rowsBetween(Window.unboundedPreceding, -1))
     carry = totals.select(*keys, "_chunk", *[_FOLD[kind][1](f"_t_{name}").over(earlier).alias(f"_b_{name}")
                                              for name, (kind, _) in folds.items()])
-    joined = _with_carry(local, carry, keys)
+    joined = _with_carry(local, carry, keys, hot_rows)
 
     def combine(name: str, kind: str) -> Column:
         here, before = F.col(f"_l_{name}"), F.col(f"_b_{name}")
@@ -92,14 +108,14 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], position
     `value` itself must not be null: wrap it in a struct where it may be.
     """
     rows = chunked(df, keys, position, width, hot_rows)
-    frame = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    frame = _window(keys, hot_rows).orderBy(*order)
     shift, edge = (F.lead, F.min_by) if following else (F.lag, F.max_by)
     local = rows.select("*", shift(value).over(frame).alias("_near"))
     edges = (rows.where("_hot").groupBy(*keys, "_chunk")
              .agg(edge(value, F.struct(*order)).alias("_edge")))
     carry = edges.select(*keys, "_chunk",
                          shift("_edge").over(Window.partitionBy(*keys).orderBy("_chunk")).alias("_far"))
-    return (_with_carry(local, carry, keys)
+    return (_with_carry(local, carry, keys, hot_rows)
             .select(*df.columns, F.coalesce("_near", "_far").alias(name)))
 
 
@@ -107,7 +123,7 @@ def recent(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: C
            name: str, value: Column, count: int, hot_rows: int | None = None) -> DataFrame:
     """Array of the last `count` values of the group, the current one last. `value` is not null."""
     rows = chunked(df, keys, position, width, hot_rows)
-    frame = Window.partitionBy(*keys, "_chunk").orderBy(*order)
+    frame = _window(keys, hot_rows).orderBy(*order)
     local = rows.select("*", F.collect_list(value).over(frame.rowsBetween(1 - count, 0)).alias("_here"))
     # Only the last rows of each chunk reach the next one; the rank filter is applied before the shuffle.
     last_first = Window.partitionBy(*keys, "_chunk").orderBy(*[F.col(c).desc() for c in order])
@@ -120,7 +136,7 @@ def recent(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: C
     carry = tails.select(*keys, "_chunk", F.flatten(F.collect_list("_tail").over(earlier)).alias("_before"))
     both = F.when(F.col("_before").isNull(), F.col("_here")).otherwise(F.concat("_before", "_here"))
     last = F.when(F.size(both) > count, F.slice(both, -count, count)).otherwise(both)
-    return _with_carry(local, carry, keys).select(*df.columns, last.alias(name))
+    return _with_carry(local, carry, keys, hot_rows).select(*df.columns, last.alias(name))
 
 
 def positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
