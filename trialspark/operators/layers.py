@@ -48,22 +48,26 @@ def merge(flat: DataFrame) -> DataFrame:
     latest = flat.groupBy("config_id", "path").agg(
         F.max_by(F.struct("is_object", "value"), "layer").alias("r"), F.max("layer").alias("layer"),
         F.max(F.when(~F.col("is_object"), F.col("layer"))).alias("leaf_layer"))
-    above = F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))
-    replaced = (latest.where(F.size("path") > 0)
-                .select("config_id", "path", "layer", F.explode(above).alias("dir"))
-                .join(latest.where(F.col("leaf_layer").isNotNull())
-                      .select(F.col("config_id").alias("c"), F.col("path").alias("p"), F.col("leaf_layer").alias("replaced_at")),
-                      (F.col("config_id") == F.col("c")) & (F.col("dir") == F.col("p"))
-                      & (F.col("replaced_at") > F.col("layer")))
-                .select("config_id", "path").distinct())
-    alive = latest.join(replaced, ["config_id", "path"], "left_anti").select("config_id", "path", "r.*")
-    # An object is listed only when nothing lies beneath it.
-    parents = (alive.where(F.size("path") > 0)
-               .select("config_id", F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).distinct())
-    leaves = alive.where(~F.col("is_object"))
-    empty = (alive.where("is_object").join(parents, ["config_id", "path"], "left_anti")
-             .withColumn("value", F.lit("{}")))
-    return leaves.unionByName(empty).select("config_id", "path", "value")
+    # A later leaf at a path above replaces everything beneath it.
+    above = F.when(F.size("path") > 0, F.transform(F.sequence(F.lit(0), F.size("path") - 1),
+                                                   lambda n: F.slice("path", F.lit(1), n)))
+    leaves = latest.where(F.col("leaf_layer").isNotNull()).select(
+        F.col("config_id").alias("c"), F.col("path").alias("p"), F.col("leaf_layer").alias("replaced_at"))
+    alive = (latest.select("config_id", "path", "layer", "r", F.explode_outer(above).alias("dir"))
+             .join(leaves, (F.col("config_id") == F.col("c")) & (F.col("dir") == F.col("p")), "left")
+             .groupBy("config_id", "path")
+             .agg(F.any_value("r").alias("r"), F.any_value("layer").alias("layer"), F.max("replaced_at").alias("replaced_at"))
+             .where(F.col("replaced_at").isNull() | (F.col("replaced_at") < F.col("layer"))))
+    # Each survivor also tells its parent that it is there: an object is listed only without children.
+    parent = F.when(F.size("path") > 0, F.slice("path", F.lit(1), F.size("path") - 1))
+    told = F.array_compact(F.array(F.struct("path", F.col("r").alias("own"), F.lit(0).alias("child")),
+                                   F.when(parent.isNotNull(), F.struct(parent.alias("path"), F.lit(None).cast(latest.schema["r"].dataType).alias("own"),
+                                                                       F.lit(1).alias("child")))))
+    return (alive.select("config_id", F.explode(told).alias("t"))
+            .groupBy("config_id", F.col("t.path").alias("path"))
+            .agg(F.max("t.own").alias("own"), F.max("t.child").alias("children"))
+            .where(F.col("own").isNotNull() & ~(F.col("own.is_object") & (F.col("children") == 1)))
+            .select("config_id", "path", F.when(F.col("own.is_object"), "{}").otherwise(F.col("own.value")).alias("value")))
 
 
 def config_merge(layers: DataFrame) -> DataFrame:

@@ -40,7 +40,8 @@ def leaf_changes(spark, sf):
   SELECT trial_id, ord, kind || ' ' || path AS entry FROM ({LEAF_SQL}) f
   WHERE (path = '/en' OR starts_with(path, '/en/') OR path = '/fr' OR starts_with(path, '/fr/'))
     AND NOT contains(path, '__pycache__') AND NOT ends_with(path, '.pyc')
-    AND NOT EXISTS (SELECT 1 FROM page_files a WHERE a.trial_id = f.trial_id AND a.plain AND f.path = a.path)"""))
+    AND NOT EXISTS (SELECT 1 FROM page_files a WHERE a.trial_id = f.trial_id AND a.plain
+      AND (f.path = rtrim(a.path, '/') OR starts_with(f.path, rtrim(a.path, '/') || '/')))"""))
 def tamper_filter(spark, sf):
     changed = B.changes(spark, sf)
     pages = B.page_files(spark, sf)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 
+SCHEME = "^[a-z][a-z0-9+.-]*:/*"
+
 
 def _listing(spark: SparkSession, root: str, pattern: str | None = None, recursive: bool = True) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
@@ -15,6 +19,20 @@ def _listing(spark: SparkSession, root: str, pattern: str | None = None, recursi
     return reader.load(root)
 
 
+def _with_empty(files: DataFrame) -> DataFrame:
+    """Add rows for files of no bytes, which a Spark scan leaves out (path, and null elsewhere).
+
+    Their names come from the scan's own file index, which any read holds in the driver.
+    """
+    names = files.sparkSession.createDataFrame([(n,) for n in files.inputFiles()], "uri string")
+    named = names.select(_plain_path(_decoded(F.col("uri"))).alias("path"))
+    return named.join(files.withColumn("path", _plain_path(F.col("path"))), "path", "left")
+
+
+def _plain_path(path):
+    return F.regexp_replace(path, SCHEME, "/")
+
+
 def _decoded(path):
     """File URIs arrive percent-encoded in `_metadata`; plain `path` of binary files does not."""
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
@@ -25,10 +43,10 @@ def task_files(spark: SparkSession, root: str) -> DataFrame:
 
     A root that holds instruction.md is itself the one task; otherwise its direct children are.
     """
-    base = root.rstrip("/")
-    files = _listing(spark, base)
-    below = F.regexp_extract("path", f"^(?:[a-z]+:/*)?/\\Q{base.lstrip('/')}\\E/(.*)$", 1)
-    rel = files.select(below.alias("rel"), "content")
+    base = re.sub(SCHEME, "/", root.rstrip("/"))
+    files = _with_empty(_listing(spark, root))
+    below = F.regexp_extract("path", f"^/\\Q{base.lstrip('/')}\\E/(.*)$", 1)
+    rel = files.select(below.alias("rel"), F.coalesce("content", F.lit("").cast("binary")).alias("content"))
     lone = rel.where(F.col("rel") == "instruction.md").limit(1).count() > 0
     if lone:
         return rel.select(F.lit(base.rsplit("/", 1)[-1]).alias("task"), F.col("rel").alias("relpath"), "content")
@@ -71,10 +89,19 @@ def matching_files(spark: SparkSession, folder: str, pattern: str = "*.txt") ->
 
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Newlines per file; carriage returns do not end a line and an open last line is not counted."""
-    from ..functions.text import line_count
-    text = spark.read.text(path, wholetext=True)
-    return text.select(_decoded(F.col("_metadata.file_path")).alias("path"), line_count(F.col("value")).alias("lines"))
+    """Newlines per file; carriage returns do not end a line and an open last line is not counted.
+
+    Files are read in splits and counted before the shuffle, so one huge file is no problem. An
+    open last line shows in the bytes: every line counted with its newline is one more than the file.
+    """
+    text = spark.read.text(path, lineSep="\n")
+    counted = (text.select(_decoded(F.col("_metadata.file_path")).alias("_uri"), F.col("_metadata.file_size").alias("size"),
+                           F.octet_length("value").alias("bytes"))
+               .groupBy(_plain_path(F.col("_uri")).alias("path"), "size")
+               .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("bytes") + 1).alias("bytes")))
+    listed = _with_empty(_listing(spark, path)).select("path")
+    lines = F.col("rows") - (F.col("bytes") - F.col("size"))
+    return listed.join(counted, "path", "left").select("path", F.coalesce(lines, F.lit(0).cast("bigint")).alias("lines"))
 
 
 def changelog(spark: SparkSession, path: str) -> DataFrame:

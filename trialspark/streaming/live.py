@@ -150,50 +150,39 @@ def stream_loop_guard(steps: DataFrame, window: int = C.REPEAT_WINDOW) -> DataFr
 def live_steps(feed: DataFrame, ttl_seconds: int = C.LIVE_STEPS_SECONDS, delay: str = "0 seconds") -> DataFrame:
     """Changes of the steps shown for running trials: `show` a step, or `clear` all up to a seq.
 
-    A trial event (start or end) clears; so do `ttl_seconds` without a new step. Per index the
-    first step since the last clearing is shown. `shown_now` turns the changes into the list.
+    A trial event (start or end) clears; so do `ttl_seconds` of stream time without a new step.
+    State per trial is what was cleared and when it expires, not its steps: `shown_now` turns the
+    changes into the list, taking per index the first step since the last clearing.
     """
     columns = ["trial_id", "op", "seq", "idx", "command"]
 
     class Steps(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            # At most one entry per command of a trial, and those are capped.
-            self.shown = handle.getValueState("shown", "idx array<int>, seq array<bigint>")
             self.marks = handle.getValueState("marks", "cleared bigint, last_seq bigint, expires_ms bigint")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
             cleared, last_seq, expires = self.marks.get() if self.marks.exists() else (-1, -1, 0)
-            shown = dict(zip(*self.shown.get())) if self.shown.exists() else {}
-            due = expires
+            before, due = cleared, expires
             for part in rows:
-                out = []
                 last_seq = max(last_seq, int(part["seq"].max()))
                 is_step = part["type"] == "step"
-                clears = part.loc[~is_step, "seq"]
-                if len(clears) and int(clears.max()) > cleared:
-                    cleared = int(clears.max())
-                    shown = {i: s for i, s in shown.items() if s > cleared}
-                    out.append((key[0], "clear", cleared, None, None))
+                if not is_step.all():
+                    cleared = max(cleared, int(part.loc[~is_step, "seq"].max()))
                 fresh = part[is_step & (part["seq"] > cleared)]
                 if len(fresh):
                     due = max(due, int(fresh["us"].max()) // 1000 + ttl_seconds * 1000)
-                for idx, seq, command in sorted(zip(fresh["idx"].astype(int), fresh["seq"].astype(int), fresh["command"])):
-                    if idx not in shown or seq < shown[idx]:
-                        shown[idx] = seq
-                        out.append((key[0], "show", seq, idx, command))
-                if out:
-                    yield pd.DataFrame(out, columns=columns).astype({"idx": "Int32"})
+                    yield fresh.assign(op="show")[columns].astype({"idx": "Int32"})
+            if cleared > before:
+                yield pd.DataFrame([(key[0], "clear", cleared, None, None)], columns=columns).astype({"idx": "Int32"})
             if due != expires:
                 if expires:
                     self.handle.deleteTimer(expires)
                 self.handle.registerTimer(due)
-            self.shown.update((list(shown), list(shown.values())))
             self.marks.update((cleared, last_seq, due))
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             cleared, last_seq, _ = self.marks.get()
-            self.shown.clear()
             self.marks.update((max(cleared, last_seq), last_seq, 0))
             yield pd.DataFrame([(key[0], "clear", last_seq, None, None)], columns=columns).astype({"idx": "Int32"})
 
