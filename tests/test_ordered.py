@@ -43,7 +43,7 @@ def groups(rows):
 def test_running_values(df, rows, hot):
     for through in (True, False):
         got = {r.seq: (r.n, r.s, r.m) for r in ordered.running(
-            df, KEYS, ORDER, F.col("us"), 50,
+            df, KEYS, ORDER, F.col("us"),
             {"n": ("count", F.lit(1)), "s": ("sum", F.col("v")), "m": ("max", F.col("v"))}, through, hot).collect()}
         for g in groups(rows).values():
             for i, r in enumerate(g):
@@ -54,7 +54,7 @@ def test_running_values(df, rows, hot):
 @pytest.mark.parametrize("hot", CUTS)
 @pytest.mark.parametrize("following", [False, True])
 def test_neighbour(df, rows, hot, following):
-    got = {r.seq: r.x for r in ordered.neighbour(df, KEYS, ORDER, F.col("us"), 50, "x", F.col("seq"), following, hot).collect()}
+    got = {r.seq: r.x for r in ordered.neighbour(df, KEYS, ORDER, F.col("us"), "x", F.col("seq"), following, hot).collect()}
     for g in groups(rows).values():
         for i, r in enumerate(g):
             j = i + 1 if following else i - 1
@@ -63,7 +63,7 @@ def test_neighbour(df, rows, hot, following):
 
 @pytest.mark.parametrize("hot", CUTS)
 def test_recent_and_loop_guard(df, rows, hot):
-    got = {r.seq: r for r in replay.loop_guard(df, ORDER, F.col("us"), 50, hot_rows=hot).collect()}
+    got = {r.seq: r for r in replay.loop_guard(df, ORDER, F.col("us"), hot_rows=hot).collect()}
     for g in groups(rows).values():
         for i, r in enumerate(g):
             last = [(x[3].strip(), x[4]) for x in g[max(0, i - 9):i + 1]]
@@ -77,18 +77,33 @@ def test_positions_are_dense(spark, df, rows):
     assert {r.seq: r.p for r in got} == want
 
 
+def test_a_hot_group_is_split_and_others_are_not(spark):
+    # One trial holds a third of all rows.
+    rows = spark.range(60_000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("trial_id"), (F.col("id") * 1000).alias("us"), F.col("id").alias("seq"))
+    cut = ordered.chunked(rows, KEYS, F.col("us"), hot_rows=1000)
+    sizes = cut.groupBy("trial_id", "_chunk").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 1000
+    assert sizes.where("trial_id = 0").count() >= 20
+    assert sizes.where("trial_id > 0 AND _chunk <> 0").count() == 0
+    numbered = ordered.numbered(cut, KEYS, ORDER, F.col("us"), "n").where("trial_id = 0")
+    assert numbered.agg(F.count_distinct("n"), F.max("n"), F.count_if((F.col("n") - 1) * 3 != F.col("seq"))).first() == (20_000, 20_000, 0)
+
+
 def test_chunks_are_reused_without_a_second_shuffle(df):
-    cut = ordered.chunked(df, KEYS, F.col("us"), 50)
-    guarded = replay.loop_guard(ordered.numbered(cut, KEYS, ORDER, F.col("us"), 50, "idx"), ORDER, F.col("us"), 50)
+    cut = ordered.chunked(df, KEYS, F.col("us"))
+    guarded = replay.loop_guard(ordered.numbered(cut, KEYS, ORDER, F.col("us"), "idx"), ORDER, F.col("us"))
     guarded.collect()
-    guarded.write.format("noop").mode("overwrite").save()
+    # Two windows, one sort and one exchange of the rows once the empty list of hot groups is known.
+    final = guarded._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert final.count("Window [") == 2 and final.count("Exchange hashpartitioning(trial_id") == 1
 
 
 @pytest.mark.parametrize("hot", [None, 0])
 def test_file_growth(spark, hot):
     log = [("log", i * 200_000 + (1_500_000 if i > 5 else 0), i, 200 * (i % 6 + 1)) for i in range(12)]
     log += [("beat", i * 2_000_000, i, 10) for i in range(3)] + [("audit", 0, 0, 99)]
-    got = summaries.file_growth(spark.createDataFrame(log, "source string, us bigint, seq int, size int"), hot, 400_000)
+    got = summaries.file_growth(spark.createDataFrame(log, "source string, us bigint, seq int, size int"), hot)
     top = got.orderBy(F.col("grown").desc()).collect()
     assert (top[0].source, top[0].grown, top[0].restarts) == ("log", 2000, 1)
     assert {r.source: r.grown for r in top[1:]} == {"beat": 0, "audit": 0}

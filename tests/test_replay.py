@@ -61,7 +61,7 @@ def test_watchdog(spark):
 
 def test_timeline(spark):
     df = spark.createDataFrame([(1, 1, 0), (1, 2, 500_000)], "trial_id int, idx int, us bigint")
-    got = replay.timeline(df, ["idx"], F.col("idx"), 100, speed=2).orderBy("idx").collect()
+    got = replay.timeline(df, ["idx"], F.col("idx"), speed=2).orderBy("idx").collect()
     assert [(r.shown_at, r.hold) for r in got] == [(0.6, 0.5), (1.2, 2.5)]
 
 
@@ -71,7 +71,7 @@ def test_restore_before_delete(spark):
            (4, "README.md", "new"), (5, "CHANGELOG.md", "docs")]
     df = spark.createDataFrame(log, "seq bigint, path string, content string")
     for hot in (None, 0):
-        got = replay.content_before_delete(df, F.col("seq"), 2, hot).collect()
+        got = replay.content_before_delete(df, F.col("seq"), hot).collect()
         assert [(r.path, r.restored, r.restored_seq) for r in got] == [("pricing.csv", price[1], 3)]
     assert {r.path: r.content for r in replay.latest_content(df).collect()} == {"README.md": "new", "CHANGELOG.md": "docs"}
 

@@ -104,7 +104,7 @@ def test_stream_loop_guard(spark, shuffle):
     rows = [(t, i, rng.choice("ab") + rng.choice(["", " "]), rng.choice([0, 1, None])) for t in range(5) for i in range(1, 61)]
     schema = "trial_id bigint, idx bigint, command string, exit_code int"
     got = drain(live.stream_loop_guard(streamed(spark, rows, schema, 3, shuffle)), "t")
-    want = replay.loop_guard(spark.createDataFrame(rows, schema), ["idx"], F.col("idx"), 10).select("trial_id", "idx", "repeats")
+    want = replay.loop_guard(spark.createDataFrame(rows, schema), ["idx"], F.col("idx")).select("trial_id", "idx", "repeats")
     assert table(got) == table(want)
 
 

@@ -1,6 +1,9 @@
 """Run registered queries beside their SQL on one data folder and compare all rows.
 
     python tools/check.py /root/testdata/sf0.01 [name ...]
+
+VERBOSE=1 prints every query. HOT_ROWS=20 makes nearly every group a hot one, and BROADCAST=-1
+turns off broadcast joins by size, to see the plans of large data give the same rows.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ import duckdb
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from trialspark.plans import catalog  # noqa: E402
+from trialspark.plans import catalog, ordered  # noqa: E402
 from trialspark.session import build  # noqa: E402
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -61,7 +64,12 @@ def compare(spark, con, sf, name):
 
 def main():
     sf, only = sys.argv[1], sys.argv[2:]
-    spark = build("check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
+    if os.environ.get("HOT_ROWS"):
+        ordered.HOT_ROWS = int(os.environ["HOT_ROWS"])
+    spark = build("check", "local[8]", **{
+        "spark.sql.autoBroadcastJoinThreshold": os.environ.get("BROADCAST", "10485760"),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": os.environ.get("BROADCAST", "10485760"),
+        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g",
                                           "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duckdb.connect()

@@ -11,35 +11,45 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-FLAT = "array<struct<path array<string>, is_object boolean, value string>>"
-
-
-def _flattener():
+def _flattener(names: list[str]):
     # Defined here so that the function travels to executors whole, without this package.
-    def rows_of(text: str | None) -> list[dict]:
-        rows, todo = [], [([], json.loads(text))] if text is not None else []
+    def rows_of(text: str):
+        todo = [([], json.loads(text))]
         while todo:
             path, value = todo.pop()
             nested = isinstance(value, dict)
-            rows.append({"path": path, "is_object": nested,
-                         "value": None if nested else json.dumps(value, ensure_ascii=False)})
+            yield path, nested, None if nested else json.dumps(value, ensure_ascii=False)
             if nested:
                 todo += [(path + [k], v) for k, v in value.items()]
-        return rows
 
-    def flatten_texts(texts: pd.Series) -> pd.Series:
-        return texts.map(rows_of)
+    def flatten_batches(batches):
+        for batch in batches:
+            source, paths, nested, values = [], [], [], []
+            for i, text in enumerate(batch.column("doc").to_pylist()):
+                for path, is_object, value in rows_of(text) if text is not None else ():
+                    source.append(i)
+                    paths.append(path)
+                    nested.append(is_object)
+                    values.append(value)
+            take = pa.array(source, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("config_id").take(take), batch.column("layer").take(take), pa.array(paths, pa.list_(pa.string())),
+                 pa.array(nested, pa.bool_()), pa.array(values, pa.string())], names=names)
 
-    return F.pandas_udf(flatten_texts, FLAT)
+    return flatten_batches
 
 
 def flatten(layers: DataFrame) -> DataFrame:
     """(config_id, layer, doc) to one row per value and per object: path, is_object, value."""
-    return (layers.select("config_id", "layer", F.explode(_flattener()("doc")).alias("r"))
-            .select("config_id", "layer", "r.*"))
+    picked = layers.select("config_id", "layer", "doc")
+    kinds = {f.name: f.dataType.simpleString() for f in picked.schema.fields}
+    names = ["config_id", "layer", "path", "is_object", "value"]
+    return picked.mapInArrow(_flattener(names), f"config_id {kinds['config_id']}, layer {kinds['layer']}, "
+                                                "path array<string>, is_object boolean, value string")
 
 
 def merge(flat: DataFrame) -> DataFrame:

@@ -15,15 +15,14 @@ from ..functions.text import fixed, strip
 from ..plans import ordered
 
 KEY = ["trial_id"]
-STEP_WIDTH = 1 << 20
 
 
-def loop_guard(steps: DataFrame, order: list[str], position: Column, width: int,
+def loop_guard(steps: DataFrame, order: list[str], position: Column,
                window: int = C.REPEAT_WINDOW, warn: int = C.REPEAT_WARN, stop: int = C.REPEAT_STOP,
                hot_rows: int | None = None) -> DataFrame:
     """Add `repeats` (same command and exit code among the last ten) and `warned`, `stuck`."""
     attempt = F.struct(strip(F.col("command")).alias("c"), F.col("exit_code").alias("x"))
-    seen = ordered.recent(steps.withColumn("_attempt", attempt), KEY, order, position, width, "_recent",
+    seen = ordered.recent(steps.withColumn("_attempt", attempt), KEY, order, position, "_recent",
                           F.col("_attempt"), window, hot_rows)
     # A struct equals another when null exit codes match too.
     repeats = F.size(F.filter("_recent", lambda a: a.eqNullSafe(F.col("_attempt"))))
@@ -41,7 +40,7 @@ def stuck_at(guarded: DataFrame) -> DataFrame:
 def nudges(replies: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Prose replies so far: the first is nudged, the second ends the trial."""
     talk = (F.col("n_calls") == 0) & ~F.col("failed")
-    counted = ordered.running(replies, KEY, ["reply"], F.col("reply"), STEP_WIDTH,
+    counted = ordered.running(replies, KEY, ["reply"], F.col("reply"),
                               {"prose": ("sum", talk.cast("bigint"))}, hot_rows=hot_rows)
     return (counted.withColumn("nudged", talk & (F.col("prose") == 1))
             .withColumn("gave_up", talk & (F.col("prose") >= C.PROSE_STOP)))
@@ -49,7 +48,7 @@ def nudges(replies: DataFrame, hot_rows: int | None = None) -> DataFrame:
 
 def token_use(replies: DataFrame, budget: int = C.TOKEN_BUDGET, hot_rows: int | None = None) -> DataFrame:
     """Tokens used before each reply; the reply is never asked for once the budget is gone."""
-    used = ordered.running(replies, KEY, ["reply"], F.col("reply"), STEP_WIDTH,
+    used = ordered.running(replies, KEY, ["reply"], F.col("reply"),
                            {"used": ("sum", F.coalesce("tokens", F.lit(0)).cast("bigint"))},
                            through_current=False, hot_rows=hot_rows)
     return used.withColumn("over_budget", F.col("used") >= budget)
@@ -69,7 +68,7 @@ def call_result(calls: DataFrame) -> DataFrame:
 def step_cap(calls: DataFrame, max_steps: int, hot_rows: int | None = None) -> DataFrame:
     """Commands run before each call, and whether the call is refused because of the cap."""
     is_run = runnable(F.col("name"), F.col("command")).cast("bigint")
-    counted = ordered.running(calls, KEY, ["reply", "call"], F.col("reply"), STEP_WIDTH,
+    counted = ordered.running(calls, KEY, ["reply", "call"], F.col("reply"),
                               {"run_before": ("sum", is_run)}, through_current=False, hot_rows=hot_rows)
     return counted.withColumn("capped", F.col("run_before") >= max_steps)
 
@@ -101,7 +100,7 @@ def stop_reasons(replies: DataFrame, calls: DataFrame, max_steps: int = C.MAX_ST
     done = (capped.where(is_run)
             .withColumn("idx", F.col("run_before") + 1)
             .select("trial_id", "reply", "call", "idx", "command", "exit_code"))
-    guarded = loop_guard(done, ["idx"], F.col("idx"), STEP_WIDTH, hot_rows=hot_rows)
+    guarded = loop_guard(done, ["idx"], F.col("idx"), hot_rows=hot_rows)
     stuck = _fired(guarded, F.array(_rule(F.col("stuck"), 3, nth, 3, "stuck")))
     by_call = F.array(
         _rule(F.col("capped"), 3, nth, 0, "max_steps"),
@@ -150,15 +149,15 @@ def watchdog(samples: DataFrame, trial_timeout: int, disk_limit_mb: int) -> Data
             .groupBy("trial_id").agg(F.min("us").alias("us"), F.min_by("reason", F.struct("us", "reason")).alias("reason")))
 
 
-def running_peak(samples: DataFrame, width: int, hot_rows: int | None = None) -> DataFrame:
-    return ordered.running(samples, KEY, ["us"], F.col("us"), width, {"peak_mb": ("max", F.col("disk_mb"))},
+def running_peak(samples: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    return ordered.running(samples, KEY, ["us"], F.col("us"), {"peak_mb": ("max", F.col("disk_mb"))},
                            hot_rows=hot_rows)
 
 
-def timeline(steps: DataFrame, order: list[str], position: Column, width: int, speed: int = 1,
+def timeline(steps: DataFrame, order: list[str], position: Column, speed: int = 1,
              hot_rows: int | None = None) -> DataFrame:
     """When each step appears in a replay, and how long its recorded frame is held."""
-    nxt = ordered.neighbour(steps, KEY, order, position, width, "_next", F.col("us"), following=True,
+    nxt = ordered.neighbour(steps, KEY, order, position, "_next", F.col("us"), following=True,
                             hot_rows=hot_rows)
     hold = (F.col("_next") - F.col("us")) / F.lit(1_000_000.0)
     return (nxt.withColumn("shown_at", F.col("idx") * F.lit(C.REPLAY_SECONDS) / F.lit(speed))
@@ -172,10 +171,10 @@ def dedupe_steps(arrivals: DataFrame) -> DataFrame:
             .select("trial_id", "idx", "r.*"))
 
 
-def content_before_delete(log: DataFrame, position: Column, width: int, hot_rows: int | None = None) -> DataFrame:
+def content_before_delete(log: DataFrame, position: Column, hot_rows: int | None = None) -> DataFrame:
     """For each deletion (null content) of (path, seq, content): the content just before it."""
     seen = F.when(F.col("content").isNotNull(), F.struct("seq", "content"))
-    past = ordered.running(log.withColumn("_seen", seen), ["path"], ["seq"], position, width,
+    past = ordered.running(log.withColumn("_seen", seen), ["path"], ["seq"], position,
                            {"_last": ("max", F.col("_seen"))}, through_current=False, hot_rows=hot_rows)
     return (past.where(F.col("content").isNull())
             .select("path", "seq", F.col("_last.seq").alias("restored_seq"), F.col("_last.content").alias("restored")))

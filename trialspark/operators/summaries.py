@@ -176,9 +176,11 @@ def top_spender(customers: DataFrame, orders: DataFrame, items: DataFrame, year:
 
 def spend(customers: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
     """Total per customer. Totals shrink to one row per customer before names are joined."""
-    bought = orders.join(items, orders["id"] == items["order_id"])
-    totals = (bought.groupBy(F.col("customer_id").alias("cid"))
-              .agg(F.sum(F.col("price_cents") * F.col("quantity")).alias("total")))
+    # Summing per order first needs no more shuffles than joining items, and no order is hot after it.
+    per_order = (items.groupBy(F.col("order_id").alias("oid"))
+                 .agg(F.sum(F.col("price_cents") * F.col("quantity")).alias("cents")))
+    totals = (orders.join(per_order, orders["id"] == per_order["oid"])
+              .groupBy(F.col("customer_id").alias("cid")).agg(F.sum("cents").alias("total")))
     return customers.join(totals, customers["id"] == totals["cid"]).select("id", "name", "total")
 
 
@@ -194,10 +196,10 @@ def region_revenue(sales: DataFrame) -> DataFrame:
             .orderBy("region"))
 
 
-def file_growth(sizes: DataFrame, hot_rows: int | None = None, width: int = 3_600_000_000) -> DataFrame:
+def file_growth(sizes: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Bytes added per source and restarts seen as gaps above one second, from (source, us, seq, size)."""
     from ..plans.ordered import neighbour
-    pairs = neighbour(sizes, ["source"], ["us", "seq"], F.col("us"), width, "_before",
+    pairs = neighbour(sizes, ["source"], ["us", "seq"], F.col("us"), "_before",
                       F.struct("size", "us"), hot_rows=hot_rows)
     delta = F.col("size") - F.col("_before.size")
     gap = F.col("us") - F.col("_before.us")

@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 from ..operators import grading
 from .ordered import chunked, numbered
 
-HOUR = 3_600_000_000
-
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
@@ -55,8 +53,8 @@ def steps(spark: SparkSession, sf: str, cut: bool = False) -> DataFrame:
     """Numbered commands. `cut` keeps the chunk columns, for more ordered work without a shuffle."""
     raw = raw_steps(spark, sf)
     if cut:
-        raw = chunked(raw, ["trial_id"], F.col("us"), HOUR)
-    return numbered(raw, ["trial_id"], ["us", "event_id"], F.col("us"), HOUR, "idx")
+        raw = chunked(raw, ["trial_id"], F.col("us"))
+    return numbered(raw, ["trial_id"], ["us", "event_id"], F.col("us"), "idx")
 
 
 SQL["steps"] = """
@@ -90,12 +88,12 @@ SQL["heartbeats"] = "SELECT user_id AS worker, epoch_us(ts) AS us FROM events WH
 
 
 def replies(spark: SparkSession, sf: str) -> DataFrame:
-    """One model reply per event, with the calls it holds and what happened."""
+    """One model reply per event, with the calls it holds and what happened; already cut into chunks."""
     k = F.get_json_object("props", "$.k").cast("int")
     kind = F.col("event_type")
-    numbered_rows = numbered(clicks(spark, sf), ["trial_id"], ["us", "event_id"], F.col("us"), HOUR, "reply")
-    return numbered_rows.select(
-        "trial_id", "reply", k.alias("k"), kind.alias("kind"), (F.col("event_id") * 7 % 400).alias("tokens"),
+    rows = chunked(clicks(spark, sf), ["trial_id"], F.col("us"))
+    return numbered(rows, ["trial_id"], ["us", "event_id"], F.col("us"), "reply").select(
+        "trial_id", "reply", "_hot", "_chunk", k.alias("k"), kind.alias("kind"), (F.col("event_id") * 7 % 400).alias("tokens"),
         ((kind == "error") & (F.col("value") > 150)).alias("failed"),
         (F.col("value") > 300).alias("violated"),
         F.when((kind == "signup") & (k < 25), 0).otherwise(1 + k % 2).alias("n_calls"))
@@ -114,7 +112,8 @@ def calls(replied: DataFrame) -> DataFrame:
     """Tool calls of `replies`: the first is the event's own command, a second lists files."""
     return (replied.where("n_calls > 0")
             .withColumn("call", F.explode(F.sequence(F.lit(1), F.col("n_calls"))))
-            .select("trial_id", "reply", "call",
+            .select("trial_id", "reply", F.col("call").cast("bigint").alias("call"),
+                    *[c for c in ("_hot", "_chunk") if c in replied.columns],
                     F.when((F.col("kind") == "purchase") & (F.col("k") < 15), "finish")
                     .when(F.col("k") == 50, "search").otherwise("run_shell").alias("name"),
                     F.when(F.col("call") == 2, "ls").when(F.col("k") == 60, " ").otherwise(F.col("kind")).alias("command"),
@@ -196,7 +195,7 @@ SQL["graded"] = """
 
 def with_numbers(trials: DataFrame) -> DataFrame:
     """trial_no: 1..n per (run, task)."""
-    return numbered(trials, ["run_id", "task"], ["trial_id"], F.col("trial_id"), 1 << 20, "trial_no")
+    return numbered(trials, ["run_id", "task"], ["trial_id"], F.col("trial_id"), "trial_no")
 
 
 SQL["numbered"] = "SELECT *, row_number() OVER (PARTITION BY run_id, task ORDER BY trial_id) AS trial_no FROM graded"

@@ -14,18 +14,17 @@ from .registry import query
 W = B.with_views
 
 
-@query("trial_json_scan", W("recorded graded step_counts graded_steps", """
+@query("trial_json_scan", W("recorded graded", """
   SELECT task, mode, status, count(*) AS trials, count(*) FILTER (WHERE passed) AS passed,
-    CAST(sum(len(tampering)) AS BIGINT) AS entries, CAST(sum(steps) AS BIGINT) AS steps FROM graded_steps GROUP BY ALL"""))
+    CAST(sum(len(tampering)) AS BIGINT) AS entries, CAST(sum(trial_id % 5) AS BIGINT) AS steps FROM graded GROUP BY ALL"""))
 def trial_json_scan(spark, sf):
     """Whole trial records, trajectories included, as JSON."""
-    steps = (B.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("trial_id"))
-             .agg(F.collect_list(F.struct(F.col("l_linenumber").alias("index"), F.col("l_returnflag").alias("command"),
-                                          F.lit(0).alias("exit_code"))).alias("steps")))
-    rows = B.graded(spark, sf).join(steps, "trial_id", "left")
+    step = lambda n: F.struct(n.cast("int").alias("index"), F.lit("ls").alias("command"), F.lit(0).alias("exit_code"))
+    steps = F.filter(F.transform(F.sequence(F.lit(0), F.col("trial_id") % 5), step), lambda s: s["index"] > 0)
     path = scratch(spark, "trials-json")
-    rows.select("task", "mode", "status", "passed", "tests_passed", "duration", "error", "violation", "tampering",
-                F.struct("steps", "finished", "stop_reason", F.col("model_error").alias("error")).alias("trajectory")).write.json(path)
+    B.graded(spark, sf).select(
+        "task", "mode", "status", "passed", "tests_passed", "duration", "error", "violation", "tampering",
+        F.struct(steps.alias("steps"), "finished", "stop_reason", F.col("model_error").alias("error")).alias("trajectory")).write.json(path)
     read = files.trial_records(spark, path, multiline=False)
     return read.groupBy("task", "mode", "status").agg(
         F.count(F.lit(1)).alias("trials"), F.count_if("passed").alias("passed"),

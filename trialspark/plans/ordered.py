@@ -36,22 +36,27 @@ def _matches(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]]
     return reduce(lambda a, b: a & b, (left[a] == right[b] for a, b in pairs))
 
 
-def chunked(df: DataFrame, keys: Sequence[str], position: Column, width: int,
-            hot_rows: int | None = None) -> DataFrame:
-    """Add `_hot` and `_chunk`. `position` is a whole number that grows with the ordering."""
+def chunked(df: DataFrame, keys: Sequence[str], position: Column, hot_rows: int | None = None) -> DataFrame:
+    """Add `_hot` and `_chunk`. `position` is a whole number that grows with the ordering.
+
+    A hot group's span of positions is cut evenly, four times finer than its row count asks
+    for, so that uneven stretches still fit a task. Rows of one position stay together.
+    """
     if "_chunk" in df.columns:
         return df
     if hot_rows == BOUNDED:
         return df.select("*", F.lit(False).alias("_hot"), F.lit(0).cast("bigint").alias("_chunk"))
     limit = HOT_ROWS if hot_rows is None else hot_rows
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    at = position.cast("bigint")
+    pieces = F.ceil(F.col("_rows") / max(limit, 1)) * 4
+    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min(at).alias("_low"), F.max(at).alias("_high"))
            .where(F.col("_rows") > limit)
-           .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], F.lit(True).alias("_is_hot")))
+           .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_low",
+                   F.ceil((F.col("_high") - F.col("_low") + 1) / pieces).cast("bigint").alias("_width")))
     joined = df.join(F.broadcast(hot), _matches(df, hot, [(k, f"_hot_{k}") for k in keys]), "left")
-    is_hot = F.col("_is_hot").isNotNull()
-    start = position.cast("bigint") - F.pmod(position.cast("bigint"), F.lit(width).cast("bigint"))
-    return joined.select(*[df[c] for c in df.columns], is_hot.alias("_hot"),
-                         F.when(is_hot, start).otherwise(F.lit(0).cast("bigint")).alias("_chunk"))
+    past = at - F.col("_low")
+    chunk = F.coalesce(past - F.pmod(past, F.col("_width")), F.lit(0).cast("bigint"))
+    return joined.select(*[df[c] for c in df.columns], F.col("_width").isNotNull().alias("_hot"), chunk.alias("_chunk"))
 
 
 def _window(keys: Sequence[str], hot_rows: int | None) -> WindowSpec:
@@ -68,11 +73,11 @@ def _with_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str], hot_row
     return local.join(other, _matches(local, other, [(k, f"_c_{k}") for k in names]), "left")
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: Column, width: int,
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: Column,
             folds: dict[str, tuple[str, Column]], through_current: bool = True,
             hot_rows: int | None = None) -> DataFrame:
     """Running count / sum / max per group. `folds`: new column -> (kind, column)."""
-    rows = chunked(df, keys, position, width, hot_rows)
+    rows = chunked(df, keys, position, hot_rows)
     upto = 0 if through_current else -1
     frame = (_window(keys, hot_rows).orderBy(*order)
              .rowsBetween(Window.unboundedPreceding, upto))
@@ -95,19 +100,19 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], position:
     return joined.select(*df.columns, *[combine(n, kind).alias(n) for n, (kind, _) in folds.items()])
 
 
-def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: Column, width: int,
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: Column,
              name: str, hot_rows: int | None = None) -> DataFrame:
     """1-based row number per group."""
-    return running(df, keys, order, position, width, {name: ("count", F.lit(1))}, hot_rows=hot_rows)
+    return running(df, keys, order, position, {name: ("count", F.lit(1))}, hot_rows=hot_rows)
 
 
-def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: Column, width: int,
+def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: Column,
               name: str, value: Column, following: bool = False, hot_rows: int | None = None) -> DataFrame:
     """`value` of the row before (or after) in its group; null where there is none.
 
     `value` itself must not be null: wrap it in a struct where it may be.
     """
-    rows = chunked(df, keys, position, width, hot_rows)
+    rows = chunked(df, keys, position, hot_rows)
     frame = _window(keys, hot_rows).orderBy(*order)
     shift, edge = (F.lead, F.min_by) if following else (F.lag, F.max_by)
     local = rows.select("*", shift(value).over(frame).alias("_near"))
@@ -119,10 +124,10 @@ def neighbour(df: DataFrame, keys: Sequence[str], order: Sequence[str], position
             .select(*df.columns, F.coalesce("_near", "_far").alias(name)))
 
 
-def recent(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: Column, width: int,
+def recent(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: Column,
            name: str, value: Column, count: int, hot_rows: int | None = None) -> DataFrame:
     """Array of the last `count` values of the group, the current one last. `value` is not null."""
-    rows = chunked(df, keys, position, width, hot_rows)
+    rows = chunked(df, keys, position, hot_rows)
     frame = _window(keys, hot_rows).orderBy(*order)
     local = rows.select("*", F.collect_list(value).over(frame.rowsBetween(1 - count, 0)).alias("_here"))
     # Only the last rows of each chunk reach the next one; the rank filter is applied before the shuffle.

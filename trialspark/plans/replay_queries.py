@@ -24,7 +24,7 @@ LOOP_SQL = """SELECT *, count(*) OVER (PARTITION BY trial_id, trim(command), exi
 
 
 def guarded(spark, sf):
-    return replay.loop_guard(B.steps(spark, sf, cut=True), ORDER, F.col("us"), B.HOUR)
+    return replay.loop_guard(B.steps(spark, sf, cut=True), ORDER, F.col("us"))
 
 
 @query("loop_guard", W("steps", f"""
@@ -42,9 +42,10 @@ def stuck_trials(spark, sf):
 
 
 def _replies(spark, sf):
-    rows = B.replies(spark, sf)
-    before = ordered.running(rows, TRIAL, ["reply"], F.col("reply"), replay.STEP_WIDTH,
-                             {"_v": ("sum", F.col("violated").cast("bigint"))}, through_current=False)
+    # The step cap also ends the replies, so what is left of each trial is small.
+    rows = B.replies(spark, sf).where("reply <= 30").drop("_hot", "_chunk")
+    before = ordered.running(rows, TRIAL, ["reply"], F.col("reply"), {"_v": ("sum", F.col("violated").cast("bigint"))},
+                             through_current=False, hot_rows=ordered.BOUNDED)
     return before.withColumn("violated_before", F.col("_v") > 0).drop("_v")
 
 
@@ -73,7 +74,7 @@ RUN_SQL = "(name = 'run_shell' AND trim(command) <> '')"
       PARTITION BY trial_id ORDER BY reply, call ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS run_before
     FROM calls)"""))
 def step_cap(spark, sf):
-    calls = B.calls(B.replies(spark, sf)).withColumn("call", F.col("call").cast("bigint"))
+    calls = B.calls(B.replies(spark, sf))
     return replay.step_cap(calls, 30).select("trial_id", "reply", "call", "run_before", "capped")
 
 
@@ -81,7 +82,7 @@ def step_cap(spark, sf):
   SELECT trial_id, reply, call, CASE WHEN name = 'finish' THEN 'finish' WHEN {RUN_SQL} THEN 'run'
     ELSE 'error: call run_shell with a non-empty ''command'' string, or call finish.' END AS outcome FROM calls"""))
 def call_validity(spark, sf):
-    calls = B.calls(B.replies(spark, sf)).withColumn("call", F.col("call").cast("bigint"))
+    calls = B.calls(B.replies(spark, sf))
     return replay.call_result(calls).select("trial_id", "reply", "call", "outcome")
 
 
@@ -115,7 +116,7 @@ def stop_reason(spark, sf):
   SELECT trial_id, reply, call, CASE WHEN row_number() OVER (PARTITION BY trial_id, reply ORDER BY call) = 1
     THEN 'because ' || reply ELSE '' END AS thought FROM calls WHERE {RUN_SQL}"""))
 def thought_first(spark, sf):
-    calls = (B.calls(B.replies(spark, sf)).withColumn("call", F.col("call").cast("bigint"))
+    calls = (B.calls(B.replies(spark, sf))
              .withColumn("thought", F.concat(F.lit("because "), F.col("reply"))))
     return replay.first_thoughts(calls).select("trial_id", "reply", "call", F.col("shown_thought").alias("thought"))
 
@@ -146,7 +147,7 @@ def peak_disk(spark, sf):
 @query("running_peak", W("samples", "SELECT trial_id, us, max(disk_mb) OVER (PARTITION BY trial_id ORDER BY us "
                                     "ROWS UNBOUNDED PRECEDING) AS peak_mb FROM samples"))
 def running_peak(spark, sf):
-    return replay.running_peak(B.samples(spark, sf), B.HOUR).select("trial_id", "us", "peak_mb")
+    return replay.running_peak(B.samples(spark, sf)).select("trial_id", "us", "peak_mb")
 
 
 @query("replay_timeline", W("steps", """
@@ -154,7 +155,7 @@ def running_peak(spark, sf):
     coalesce((lead(us) OVER (PARTITION BY trial_id ORDER BY idx) - us) / 1000000.0::DOUBLE, 2.5::DOUBLE) AS hold FROM steps"""))
 def replay_timeline(spark, sf):
     cut = B.steps(spark, sf, cut=True)
-    return replay.timeline(cut, speed=2, order=ORDER, position=F.col("us"), width=B.HOUR).select("trial_id", "idx", "shown_at", "hold")
+    return replay.timeline(cut, speed=2, order=ORDER, position=F.col("us")).select("trial_id", "idx", "shown_at", "hold")
 
 
 @query("dedupe_steps", W("clicks", """

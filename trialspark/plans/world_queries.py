@@ -169,7 +169,7 @@ def changelog_scan(spark, sf):
       last_value(content IGNORE NULLS) OVER w AS rc FROM ({LOG_SQL})
     WINDOW w AS (PARTITION BY path ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) WHERE content IS NULL""")
 def restore_before_delete(spark, sf):
-    return replay.content_before_delete(_log(spark, sf), F.col("seq"), 1 << 20)
+    return replay.content_before_delete(_log(spark, sf), F.col("seq"))
 
 
 @query("latest_content", f"""

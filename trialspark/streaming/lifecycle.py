@@ -121,6 +121,7 @@ def lifecycle(actions: DataFrame, plan: DataFrame, target: str, compact_every: i
     runs.create(new_runs(plan))
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # read several times below
         own = batch.sparkSession
         t, r = (StateTable(own, s.path, s.key, s.every) for s in (trials, runs))
         touched = batch.select("run_id").distinct()
@@ -128,6 +129,7 @@ def lifecycle(actions: DataFrame, plan: DataFrame, target: str, compact_every: i
                             r.as_of(batch_id - 1, touched, "run_id").select(*RUN_COLUMNS), batch)
         t.save(batch_id, new_t)
         r.save(batch_id, new_r)
+        batch.unpersist()
 
     each_batch(actions, target, "append", save)
     return trials.as_of(trials.last()), runs.as_of(runs.last())
