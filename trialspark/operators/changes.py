@@ -1,7 +1,8 @@
 """File-change lists of trials: leaves of the directory tree, tampering, baselines.
 
 Tests like "is any other path below this one" become equality joins on the directories above
-each path, so no trial's list is ever compared pairwise.
+each path, so no trial's list is ever compared pairwise. Right sides of semi and anti joins are left
+as they are, not made distinct first: adaptive execution then can split a hot left side.
 """
 
 from __future__ import annotations
@@ -78,7 +79,7 @@ def tampering(changes: DataFrame, marker: str, protected: tuple[str, ...] = C.PR
     if allowed is not None:
         # The path itself or one of its directories equals an allowed prefix.
         own = F.concat(directories_above(path), F.array(path))
-        rules = allowed.select(F.col(trial), bare(F.col("prefix")).alias("_dir")).distinct()
+        rules = allowed.select(F.col(trial), bare(F.col("prefix")).alias("_dir"))
         excused = (flagged.withColumn("_dir", F.explode(own))
                    .join(rules, [trial, "_dir"], "left_semi").select(trial, "ord").distinct())
         flagged = flagged.join(excused, [trial, "ord"], "left_anti")
@@ -87,7 +88,7 @@ def tampering(changes: DataFrame, marker: str, protected: tuple[str, ...] = C.PR
 
 def minus_baseline(changes: DataFrame, baseline: DataFrame, trial: str = "trial_id") -> DataFrame:
     """Drop changes that were already there when the trial began; duplicates and order stay."""
-    return changes.join(baseline.select(trial, "kind", "path").distinct(), [trial, "kind", "path"], "left_anti")
+    return changes.join(baseline.select(trial, "kind", "path"), [trial, "kind", "path"], "left_anti")
 
 
 def recorded_changes(leaves: DataFrame, limit: int = C.CHANGES_RECORDED, trial: str = "trial_id") -> DataFrame:

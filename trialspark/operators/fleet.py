@@ -19,7 +19,7 @@ def trial_plan(requests: DataFrame) -> DataFrame:
 
 def unknown_tasks(requested: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Requested (run_id, ord, task) rows that the catalogue (task) does not hold."""
-    return requested.join(catalogue.select("task").distinct(), "task", "left_anti")
+    return requested.join(catalogue.select("task"), "task", "left_anti")
 
 
 def completed_runs(runs: DataFrame, trials: DataFrame) -> DataFrame:

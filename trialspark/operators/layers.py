@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.joins import join_one
+
 def _flattener(names: list[str]):
     # Defined here so that the function travels to executors whole, without this package.
     def rows_of(text: str):
@@ -62,9 +64,10 @@ def merge(flat: DataFrame) -> DataFrame:
     above = F.when(F.size("path") > 0, F.transform(F.sequence(F.lit(0), F.size("path") - 1),
                                                    lambda n: F.slice("path", F.lit(1), n)))
     leaves = latest.where(F.col("leaf_layer").isNotNull()).select(
-        F.col("config_id").alias("c"), F.col("path").alias("p"), F.col("leaf_layer").alias("replaced_at"))
-    alive = (latest.select("config_id", "path", "layer", "r", F.explode_outer(above).alias("dir"))
-             .join(leaves, (F.col("config_id") == F.col("c")) & (F.col("dir") == F.col("p")), "left")
+        "config_id", F.col("path").alias("dir"), F.col("leaf_layer").alias("replaced_at"))
+    under = latest.select("config_id", "path", "layer", "r", F.explode_outer(above).alias("dir"))
+    # A directory may hold very many paths.
+    alive = (join_one(under, leaves, ["config_id", "dir"], "left")
              .groupBy("config_id", "path")
              .agg(F.any_value("r").alias("r"), F.any_value("layer").alias("layer"), F.max("replaced_at").alias("replaced_at"))
              .where(F.col("replaced_at").isNull() | (F.col("replaced_at") < F.col("layer"))))

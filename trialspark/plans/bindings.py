@@ -243,17 +243,17 @@ def page_files(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, sf: str) -> DataFrame:
-    """File changes in listing order: every directory above a file as changed, then the file."""
+    """File changes in listing order: every file, and every directory above one, once, as changed."""
     pages = page_files(spark, sf)
     parts = F.split("path", "/")
     depth = F.size(parts)
-    last = F.greatest(depth, F.lit(2))
-    each = pages.withColumn("d", F.explode(F.sequence(F.lit(2), last)))
-    leaf = F.col("d") == last
-    return each.select("trial_id", (F.col("page_id") * 100 + F.col("d")).alias("ord"),
-                       F.when(leaf, F.col("kind")).otherwise("C").alias("kind"),
-                       F.when(leaf, F.col("path")).otherwise(F.array_join(F.slice(parts, F.lit(1), F.col("d")), "/")).alias("path"),
-                       "plain")
+    files = pages.select("trial_id", (F.col("page_id") * 100 + 99).alias("ord"), "kind", "path", "plain")
+    above = F.transform(F.sequence(F.lit(2), depth - 1), lambda d: F.struct(
+        F.array_join(F.slice(parts, F.lit(1), d), "/").alias("path"), d.alias("d")))
+    dirs = (pages.where(depth > 2).select("trial_id", "page_id", "plain", F.explode(above).alias("a"))
+            .groupBy("trial_id", F.col("a.path").alias("path"))
+            .agg(F.min(F.col("page_id") * 100 + F.col("a.d")).alias("ord"), F.bool_and("plain").alias("plain")))
+    return files.unionByName(dirs.withColumn("kind", F.lit("C")))
 
 
 SQL["page_files"] = """
@@ -262,10 +262,11 @@ SQL["page_files"] = """
          regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS path, starts_with(url, 'http:') AS plain
   FROM pages"""
 SQL["changes"] = """
-  SELECT trial_id, page_id * 100 + len(string_split(path, '/')) AS ord, kind, path, plain FROM page_files
+  SELECT trial_id, page_id * 100 + 99 AS ord, kind, path, plain FROM page_files
   UNION ALL
-  SELECT trial_id, page_id * 100 + d AS ord, 'C' AS kind, array_to_string(string_split(path, '/')[1:d], '/') AS path, plain
-  FROM (SELECT *, unnest(range(2, len(string_split(path, '/')))) AS d FROM page_files)"""
+  SELECT trial_id, min(page_id * 100 + d) AS ord, 'C' AS kind, path, bool_and(plain) AS plain FROM (
+    SELECT trial_id, page_id, plain, d, array_to_string(string_split(path, '/')[1:d], '/') AS path
+    FROM (SELECT *, unnest(range(2, len(string_split(path, '/')))) AS d FROM page_files)) GROUP BY trial_id, path"""
 
 
 # -- conversations --------------------------------------------------------------

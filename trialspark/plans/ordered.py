@@ -29,6 +29,7 @@ _FOLD = {
     "count": (F.count, F.sum),
     "sum": (F.sum, F.sum),
     "max": (F.max, F.max),
+    "min": (F.min, F.min),
 }
 
 
@@ -76,7 +77,7 @@ def _with_carry(local: DataFrame, carry: DataFrame, keys: Sequence[str], hot_row
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], position: Column,
             folds: dict[str, tuple[str, Column]], through_current: bool = True,
             hot_rows: int | None = None) -> DataFrame:
-    """Running count / sum / max per group. `folds`: new column -> (kind, column)."""
+    """Running count / sum / max / min per group. `folds`: new column -> (kind, column)."""
     rows = chunked(df, keys, position, hot_rows)
     upto = 0 if through_current else -1
     frame = (_window(keys, hot_rows).orderBy(*order)
@@ -93,8 +94,8 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], position:
 
     def combine(name: str, kind: str) -> Column:
         here, before = F.col(f"_l_{name}"), F.col(f"_b_{name}")
-        if kind == "max":
-            return F.greatest(here, before)
+        if kind in ("max", "min"):
+            return (F.greatest if kind == "max" else F.least)(here, before)
         return F.coalesce(here, F.lit(0)) + F.coalesce(before, F.lit(0))
 
     return joined.select(*df.columns, *[combine(n, kind).alias(n) for n, (kind, _) in folds.items()])

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..operators import replay
 from ..session import scratch
 from ..streaming import lifecycle as L
 from ..streaming import live
@@ -94,9 +95,7 @@ def stream_loop_guard(spark, sf):
     FROM (SELECT *, min(us) OVER (PARTITION BY trial_id) AS start FROM samples)
     WHERE us - start >= 1000000000000 OR disk_mb > 200) GROUP BY trial_id"""))
 def stream_watchdog(spark, sf):
-    samples = B.samples(spark, sf)
-    starts = samples.groupBy("trial_id").agg(F.min("us").alias("start"))
-    timed = samples.join(starts, "trial_id").select("trial_id", "us", (F.col("us") - F.col("start")).alias("elapsed_us"), "disk_mb")
+    timed = replay.since_start(B.samples(spark, sf))
     stream = table_stream(spark, staged(timed, "samples"))
     return drain_updates(live.stream_watchdog(stream, 1_000_000, 200), ["trial_id"], "watchdog")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import changes as X
 from ..operators import fleet, layers, replay, summaries
 from . import bindings as B
+from .joins import join_one
 from .registry import query
 
 W = B.with_views
@@ -251,7 +252,7 @@ def dead_workers(spark, sf):
   SELECT stage, worker, trial_id, row_number() OVER (ORDER BY stage, worker DESC,
     CASE WHEN stage = 0 THEN -seq ELSE seq END, trial_id) AS position FROM jobs"""))
 def orphan_jobs(spark, sf):
-    held = B.leases(spark, sf).join(_dead(spark, sf).select("worker"), "worker", "left_semi")
+    held = join_one(B.leases(spark, sf), _dead(spark, sf).select("worker"), ["worker"], "left_semi")
     queue = (B.clicks(spark, sf).where("event_type = 'signup'")
              .select(F.col("event_id").alias("trial_id"), F.col("us").alias("seq")))
     return fleet.rerun_order(held, queue).select("stage", "worker", "trial_id", "position")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..plans.joins import join_one
 from .run import each_batch
 
 TRIAL_COLUMNS = ["run_id", "trial_id", "status", "started_seq", "finished_seq"]
@@ -39,12 +40,12 @@ def fold(trials: DataFrame, runs: DataFrame, actions: DataFrame) -> tuple[DataFr
         F.min(F.when(ends, seq)).alias("end1"), F.max(F.when(ends, seq)).alias("end2"),
         F.max_by(said, F.when(ends, seq)).alias("end_status")))
     # Only claims before the first end can count; one row per trial again.
-    claims = (actions.where(kind == "claim").select("trial_id", "seq")
-              .join(per_trial.select("trial_id", "end1"), "trial_id")
+    claims = (join_one(actions.where(kind == "claim").select("trial_id", "seq"), per_trial.select("trial_id", "end1"), ["trial_id"])
               .where(F.col("end1").isNull() | (seq < F.col("end1")))
               .groupBy("trial_id").agg(F.max("seq").alias("claim2")))
     cancels = actions.where(kind == "cancel").groupBy("run_id").agg(F.min("seq").alias("cancel1"))
-    state = (trials.join(per_trial, "trial_id", "left").join(claims, "trial_id", "left").join(cancels, "run_id", "left"))
+    state = (trials.join(per_trial, "trial_id", "left").join(claims, "trial_id", "left"))
+    state = join_one(state, cancels, ["run_id"], "left")  # a run may hold very many trials
     never = F.lit(2 ** 62)
     first_touch = F.least(F.coalesce("claim1", never), F.coalesce("end1", never))
     cancelled = (F.col("status") == "queued") & (F.col("cancel1") < first_touch)
@@ -124,7 +125,7 @@ def lifecycle(actions: DataFrame, plan: DataFrame, target: str, compact_every: i
         batch = batch.persist()  # read several times below
         own = batch.sparkSession
         t, r = (StateTable(own, s.path, s.key, s.every) for s in (trials, runs))
-        touched = batch.select("run_id").distinct()
+        touched = batch.select("run_id")
         new_t, new_r = fold(t.as_of(batch_id - 1, touched, "run_id").select(*TRIAL_COLUMNS),
                             r.as_of(batch_id - 1, touched, "run_id").select(*RUN_COLUMNS), batch)
         t.save(batch_id, new_t)

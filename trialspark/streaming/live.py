@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import constants as C
+from ..operators.replay import breaches
+from ..plans.joins import join_one
 
 
 def live_status(feed: DataFrame, fields: tuple[str, ...]) -> DataFrame:
@@ -29,18 +31,8 @@ def live_progress(feed: DataFrame) -> DataFrame:
 
 
 def stream_watchdog(samples: DataFrame, trial_timeout: int, disk_limit_mb: int) -> DataFrame:
-    """First breach per trial from (trial_id, us, elapsed_us, disk_mb).
-
-    Samples carry the time since their trial began, as the sampler knows it; the rule is then
-    a filter and a minimum, and a hot trial is reduced before it is shuffled.
-    """
-    from ..functions.text import fixed
-    late, full = F.col("elapsed_us") >= trial_timeout * 1_000_000, F.col("disk_mb") > disk_limit_mb
-    reason = (F.when(late, F.lit(f"trial exceeded the {trial_timeout}s time limit"))
-              .otherwise(F.concat(F.lit("disk usage reached "), fixed(F.col("disk_mb"), 0),
-                                  F.lit(f" MB (limit {disk_limit_mb} MB)"))))
-    return (samples.where(late | full).groupBy("trial_id")
-            .agg(F.min_by(reason, "us").alias("reason"), F.min("us").alias("us")))
+    """First breach per trial so far. Samples carry the time since their trial began, as the sampler knows it."""
+    return breaches(samples, trial_timeout, disk_limit_mb)
 
 
 def heartbeat_gaps(beats: DataFrame, ttl: str, delay: str = "0 seconds") -> DataFrame:
@@ -65,39 +57,46 @@ def activity(feed: DataFrame, width: str, slide: str | None = None, delay: str =
 def run_done_alerts(feed: DataFrame) -> DataFrame:
     """One row when the last planned trial of a run has ended, from trial events with `planned`.
 
-    State: the first end of each trial, and how many have ended.
+    Two steps, so that a run with very many trials is not held under one key: each trial
+    remembers that it has ended and passes on its first end only; the run just counts those.
     """
     final = tuple(C.GRADED) + ("cancelled",)
 
+    class FirstEnd(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.ended = handle.getValueState("ended", "seq bigint")
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+            if self.ended.exists():
+                return
+            firsts = [part.loc[part["seq"].idxmin()] for part in rows]
+            first = min(firsts, key=lambda r: r["seq"])
+            self.ended.update((int(first["seq"]),))
+            yield pd.DataFrame({"run_id": [key[0]], "seq": [int(first["seq"])], "planned": [int(first["planned"])]})
+
+        def close(self) -> None:
+            pass
+
     class Alerts(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.ends = handle.getMapState("ends", "trial_id bigint", "seq bigint")
-            self.summary = handle.getValueState("summary", "ended bigint, last bigint, told boolean")
+            self.count = handle.getValueState("count", "ended bigint, last bigint")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            ended, last, told = self.summary.get() if self.summary.exists() else (0, 0, False)
-            planned = None
+            ended, last = self.count.get() if self.count.exists() else (0, 0)
             for part in rows:
-                planned = int(part["planned"].iloc[0])
-                if told:
-                    continue
-                firsts = part.groupby("trial_id")["seq"].min()
-                for trial, seq in firsts.items():
-                    trial, seq = int(trial), int(seq)
-                    if not self.ends.containsKey((trial,)):
-                        self.ends.updateValue((trial,), (seq,))
-                        ended, last = ended + 1, max(last, seq)
-            done = not told and planned is not None and ended == planned
-            self.summary.update((ended, last, told or done))
-            if done:
-                self.ends.clear()
+                ended, last, planned = ended + len(part), max(last, int(part["seq"].max())), int(part["planned"].iloc[0])
+            self.count.update((ended, last))
+            if ended == planned:
                 yield pd.DataFrame({"run_id": [key[0]], "trials": [ended], "seq": [last]})
 
         def close(self) -> None:
             pass
 
     ended = feed.where((F.col("type") == "trial") & F.col("status").isin(*final))
-    return ended.select("run_id", "trial_id", "seq", "planned").groupBy("run_id").transformWithStateInPandas(
+    firsts = ended.select("run_id", "trial_id", "seq", "planned").groupBy("run_id", "trial_id").transformWithStateInPandas(
+        statefulProcessor=FirstEnd(), outputStructType="run_id bigint, seq bigint, planned bigint",
+        outputMode="Append", timeMode="None")
+    return firsts.groupBy("run_id").transformWithStateInPandas(
         statefulProcessor=Alerts(), outputStructType="run_id bigint, trials bigint, seq bigint",
         outputMode="Append", timeMode="None")
 
@@ -199,6 +198,6 @@ def live_steps(feed: DataFrame, ttl_seconds: int = C.LIVE_STEPS_SECONDS, delay:
 def shown_now(changes: DataFrame) -> DataFrame:
     """The steps shown at the end of a log of `live_steps` changes."""
     cleared = changes.where("op = 'clear'").groupBy("trial_id").agg(F.max("seq").alias("_cleared"))
-    shows = changes.where("op = 'show'").join(cleared, "trial_id", "left")
+    shows = join_one(changes.where("op = 'show'"), cleared, ["trial_id"], "left")
     live = shows.where(F.coalesce(F.col("seq") > F.col("_cleared"), F.lit(True)))
     return (live.groupBy("trial_id", "idx").agg(F.min("seq").alias("seq"), F.min_by("command", "seq").alias("command")))

@@ -17,7 +17,9 @@ def state_settings(spark: SparkSession) -> Iterator[None]:
 
     A local session also gets one state partition per core; a cluster keeps its own number.
     """
-    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB}
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+              # Sessions of a hot key are merged before they are shuffled.
+              "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
     if spark.sparkContext.master.startswith("local"):
         wanted["spark.sql.shuffle.partitions"] = str(spark.sparkContext.defaultParallelism)
     before = {k: spark.conf.get(k, None) for k in wanted}
