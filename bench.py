@@ -2,7 +2,7 @@
 
 BENCH_SF_DIR   folder of Parquet tables (default /root/testdata/sf0.1)
 BENCH_CPUS     local cores (default 8)
-BENCH_RUNS     timed runs per query, after one warm-up (default 3; the median counts)
+BENCH_RUNS     timed runs per query, after one warm-up (default 2; the median counts)
 BENCH_QUERIES  names to run instead of the headline ones, or "all"
 """
 
@@ -30,7 +30,7 @@ live_status stream_loop_guard tumbling_activity lifecycle_upsert
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     wanted = os.environ.get("BENCH_QUERIES", "")
     names = list(QUERIES) if wanted == "all" else wanted.split() or HEADLINE
     spark = build("bench", f"local[{cpus}]", **{

@@ -30,8 +30,11 @@ def new_runs(plan: DataFrame) -> DataFrame:
                                                    F.lit(None).cast("bigint").alias("closed_seq"))
 
 
-def fold(trials: DataFrame, runs: DataFrame, actions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """States after a batch of actions. `trials` and `runs` hold all rows of the runs it touches."""
+def fold_trials(trials: DataFrame, actions: DataFrame) -> DataFrame:
+    """Trial states after a batch of actions, with what `fold_runs` needs to know of the change.
+
+    `trials` holds all trials of the runs the batch touches.
+    """
     kind, seq = F.col("action"), F.col("seq")
     ends = kind.isin("finish", "crash")
     said = F.when(kind == "crash", "ERROR").otherwise(F.col("status"))
@@ -51,12 +54,18 @@ def fold(trials: DataFrame, runs: DataFrame, actions: DataFrame) -> tuple[DataFr
     cancelled = (F.col("status") == "queued") & (F.col("cancel1") < first_touch)
     claimed = F.col("status").isin(*C.OPEN) & ~F.coalesce(cancelled, F.lit(False)) & F.col("claim2").isNotNull()
     flags = state.withColumn("_c", F.coalesce(cancelled, F.lit(False))).withColumn("_k", F.coalesce(claimed, F.lit(False)))
-    after = flags.select(
+    return flags.select(
         "run_id", "trial_id", F.col("status").alias("_was"), "end1", "_k",
+        (F.col("end2").isNotNull() | F.col("_c") | F.col("_k")).alias("_changed"),
         F.when(F.col("end_status").isNotNull(), F.col("end_status")).when(F.col("_c"), "cancelled")
          .when(F.col("_k"), "running").otherwise(F.col("status")).alias("status"),
         F.when(F.col("_k"), F.col("claim2")).otherwise(F.col("started_seq")).alias("started_seq"),
         F.coalesce("end2", F.when(F.col("_c"), F.col("cancel1")), "finished_seq").alias("finished_seq"))
+
+
+def fold_runs(runs: DataFrame, after: DataFrame, actions: DataFrame) -> DataFrame:
+    """Run states, from the result of `fold_trials`."""
+    cancels = actions.where("action = 'cancel'").groupBy("run_id").agg(F.min("seq").alias("cancel1"))
     # When a run's last open trial ends; null while one stays open.
     was_open = F.col("_was").isin(*C.OPEN)
     closing = after.groupBy("run_id").agg(
@@ -67,13 +76,12 @@ def fold(trials: DataFrame, runs: DataFrame, actions: DataFrame) -> tuple[DataFr
     done_at = F.when(F.col("_left") == 0, F.coalesce("_last", "_any_end"))
     is_open = F.col("run_status").isin(*C.OPEN)
     cut = is_open & F.col("cancel1").isNotNull() & F.coalesce(F.col("cancel1") < F.col("_done"), F.lit(True))
-    runs_after = (run_state.withColumn("_done", done_at).withColumn("_cut", cut).select(
+    return run_state.withColumn("_done", done_at).withColumn("_cut", cut).select(
         "run_id",
         F.when(F.col("_cut"), "cancelled").when(is_open & F.col("_done").isNotNull(), "done")
          .when((F.col("run_status") == "queued") & F.col("_started"), "running").otherwise(F.col("run_status")).alias("run_status"),
         F.when(F.col("_cut"), F.col("cancel1")).when(is_open & F.col("_done").isNotNull(), F.col("_done"))
-         .otherwise(F.col("closed_seq")).alias("closed_seq")))
-    return after.select(*TRIAL_COLUMNS), runs_after
+         .otherwise(F.col("closed_seq")).alias("closed_seq"))
 
 
 class StateTable:
@@ -126,10 +134,10 @@ def lifecycle(actions: DataFrame, plan: DataFrame, target: str, compact_every: i
         own = batch.sparkSession
         t, r = (StateTable(own, s.path, s.key, s.every) for s in (trials, runs))
         touched = batch.select("run_id")
-        new_t, new_r = fold(t.as_of(batch_id - 1, touched, "run_id").select(*TRIAL_COLUMNS),
-                            r.as_of(batch_id - 1, touched, "run_id").select(*RUN_COLUMNS), batch)
-        t.save(batch_id, new_t)
-        r.save(batch_id, new_r)
+        after = fold_trials(t.as_of(batch_id - 1, touched, "run_id").select(*TRIAL_COLUMNS), batch).persist()
+        t.save(batch_id, after.where("_changed").select(*TRIAL_COLUMNS))
+        r.save(batch_id, fold_runs(r.as_of(batch_id - 1, touched, "run_id").select(*RUN_COLUMNS), after, batch))
+        after.unpersist()
         batch.unpersist()
 
     each_batch(actions, target, "append", save)
