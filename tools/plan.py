@@ -25,7 +25,7 @@ for name in sys.argv[2:] or catalog.QUERIES:
     final = df._jdf.queryExecution().executedPlan().toString()
     final = final.split("+- == Initial Plan ==")[0]
     ops = re.findall(r"(ReusedExchange|Exchange|BroadcastExchange|FileScan|Scan parquet|SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin|"
-                     r"BroadcastNestedLoopJoin|CartesianProduct|Window(?:GroupLimit)?|ArrowEvalPython|BatchEvalPython|Sort|Generate) ", final)
+                     r"BroadcastNestedLoopJoin|CartesianProduct|Window(?:GroupLimit)?|ArrowEvalPython|MapInArrow|BatchEvalPython|Sort|Generate) ", final)
     print(name, dict(Counter(ops)), flush=True)
     if os.environ.get("PLAN"):
         print(final)
