@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.joins import join_one
+from ..session import shared_dir
 
 def _flattener(names: list[str]):
     # Defined here so that the function travels to executors whole, without this package.
@@ -60,6 +61,9 @@ def merge(flat: DataFrame) -> DataFrame:
     latest = flat.groupBy("config_id", "path").agg(
         F.max_by(F.struct("is_object", "value"), "layer").alias("r"), F.max("layer").alias("layer"),
         F.max(F.when(~F.col("is_object"), F.col("layer"))).alias("leaf_layer"))
+    # Used several times below: kept in the shared folder, so that documents are flattened once.
+    shared_dir(latest.sparkSession)
+    latest = latest.checkpoint()
     # A later leaf at a path above replaces everything beneath it.
     above = F.when(F.size("path") > 0, F.transform(F.sequence(F.lit(0), F.size("path") - 1),
                                                    lambda n: F.slice("path", F.lit(1), n)))
