@@ -6,9 +6,9 @@ look names up in. Whether two neighbours pair depends on one bit of each name, s
 symbols except near their ends; with each symbol go the words that decided it. A window's anchor is the smallest name
 among the symbols whose deciding words it contains, so equal windows have equal anchors at equal places.
 
-Spark then counts anchor names over the corpus. A name met once settles its windows: they are unique. A name met
-several times whose stretches (all windows of the anchor, joined) are all equal settles them too: they repeat. Windows
-of the other names are compared one by one, by name and a second, independent hash (128 bits in all).
+Spark then counts anchor names over the corpus. A name met once settles its windows: they are unique. A stretch (all
+windows of an anchor, joined) met several times settles them too: they repeat. Where a name has several stretches, the
+windows of each are compared one by one, by name and a second, independent hash (128 bits in all).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WINDOW = 35
 #: Kinds of rounds, in order. More rounds name longer stretches, and symbols depend on more words around them.
-ROUNDS = ("run", "pair", "pair", "run", "pair", "pair")
+ROUNDS = ("run", "pair", "pair", "pair", "pair")
 
 
 class Text:
@@ -204,11 +204,12 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = written(anchors(docs, window), "anchors")
     names = found.groupBy("name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("name")
     shared = written(found.join(names, "name"), "shared-anchors")
-    mixed = written(shared.groupBy("name").agg(F.min("stretch").alias("_low"), F.max("stretch").alias("_high"))
-                    .select("name", (F.col("_low") != F.col("_high")).alias("mixed")), "shared-names")
-    judged = shared.join(mixed, "name")
-    settled = judged.where(~F.col("mixed")).select("k1", "k2", "first", "number")
-    doubtful = judged.where("mixed").groupBy("k1", "k2").agg(F.collect_list("first").alias("doubtful"))
+    stretches = written(shared.groupBy("name", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first")).alias("one")), "stretches")
+    settled = shared.join(stretches.where("n > 1").select("name", "stretch"), ["name", "stretch"]).select("k1", "k2", "first", "number")
+    mixed = stretches.groupBy("name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("name")
+    # One document speaks for all that share a stretch.
+    doubtful = (stretches.join(mixed, "name").groupBy(F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2"))
+                .agg(F.collect_list("one.first").alias("doubtful")))
     windows = doubtful_windows(docs.join(doubtful, ["k1", "k2"]).select("k1", "k2", "doc", "text", "doubtful"), window)
     twice = windows.groupBy("name", "hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("name", "hash")
     return settled.unionByName(windows.join(twice, ["name", "hash"]).select("k1", "k2", "first", F.lit(1).alias("number")))
