@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, substrings
+from . import decontaminate as decontamination
+from . import quality, simhash, substrings
 from .common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,3 +52,17 @@ def substring_dedup(spark, sf):
     """Every document without the words of 35-word windows that also start elsewhere."""
     found = substrings.deduplicated(table(spark, sf, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op5_quality_rules")
+def quality_rules(spark, sf):
+    """Counts and verdict of every document."""
+    return quality.judged(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op8_decontaminate")
+def decontaminate(spark, sf):
+    """Words of every document that lie inside benchmark windows, and the items they come from."""
+    found = decontamination.contamination(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"), offsets=False)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
