@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decontamination
-from . import quality, simhash, substrings
+from . import extract, mixing, quality, secrets, sharding, simhash, substrings, toxicity, urls
 from .common import prepare, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +66,94 @@ def decontaminate(spark, sf):
     found = decontamination.contamination(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"), offsets=False)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+MIXING_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+  CAST('0x' || substr(md5(concat_ws(chr(31), 'mix', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS u FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS s FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s),
+o AS (SELECT *, coalesce(sum(s) OVER (ORDER BY s / w, w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_s,
+  coalesce(sum(w) OVER (ORDER BY s / w, w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before_w,
+  sum(s) OVER () AS all_s, sum(w) OVER () AS all_w FROM w),
+l AS (SELECT *, CAST(all_s - 3 * before_s AS DOUBLE) / CAST(all_w - before_w AS DOUBLE) AS level FROM o),
+f AS (SELECT min_by(level, before_w) AS level FROM l WHERE level * w <= 3 * s),
+t AS (SELECT source, s, least(CAST(3 * s AS DOUBLE), w * f.level) AS target FROM w, f),
+r AS (SELECT doc_id, size, s, target, u, CASE WHEN s > 0 THEN target / s ELSE 0 END AS rate FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, CAST(size AS BIGINT) AS size, s AS source_size, target,
+  CAST(size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM r"""
+
+
+@query("op3_mix_sources", MIXING_SQL)
+def mix_sources(spark, sf):
+    """What the mix takes of every document."""
+    return mixing.mixed(table(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+@query("op4_secret_scan")
+def secret_scan(spark, sf):
+    """Secrets of every document, and digests of where they are."""
+    found = secrets.scanned(table(spark, sf, "documents").select("doc_id", "text"))
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    kinds = F.col("spans.kind")
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed, 256).alias("base_sha256"), listed.alias("spans"))
+
+
+@query("op6_shard")
+def shard(spark, sf):
+    """Shard and slot of every document."""
+    found = sharding.sharded(table(spark, sf, "documents"))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op7_toxicity")
+def toxicity_scores(spark, sf):
+    """Toxicity of every document, learnt from labels that are not held out."""
+    found = toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.array_join(F.transform("offending", lambda s: F.concat_ws(":", s[0].cast("string"), s[1].cast("string"))), ",").alias("offending"))
+
+
+@query("op9_main_text")
+def page_text(spark, sf):
+    """Main text of every page."""
+    found = extract.extracted(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
+URL_SQL = r"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+rules(verdict, rh, rp) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+hit AS (SELECT DISTINCT host, path, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(verdict, length(rh || rp)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM p) JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path),
+lab AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)),
+o AS (SELECT host, count(*) AS n, sum(q) AS k FROM p JOIN lab ON doc_id = TRY_CAST(regexp_extract(path, '^/[^/]+/([0-9]+)', 1) AS BIGINT) GROUP BY host),
+h AS (SELECT host, list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') AS domain, list_slice(string_split(host, '.'), -1, -1)[1] AS suffix, n, k FROM o),
+s0 AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY suffix), s1 AS (SELECT *, (SELECT sum(k) / sum(n) FROM s0) AS prior FROM s0),
+ss AS (SELECT 1 / least(greatest(coalesce((sum((k - n * m) * (k - n * m) / (m * (1 - m))) - sum(n)) / nullif(sum(n * (n - 1)), 0), 0.5), 0.001), 0.9) - 1 AS st
+  FROM (SELECT *, least(greatest(prior, 1e-6), 1 - 1e-6) AS m FROM s1)),
+s AS (SELECT suffix, k + st * prior AS a, n - k + st * (1 - prior) AS b FROM s1, ss),
+d0 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY domain, suffix), d1 AS (SELECT d0.*, a / (a + b) AS prior FROM d0 JOIN s USING (suffix)),
+ds AS (SELECT 1 / least(greatest(coalesce((sum((k - n * m) * (k - n * m) / (m * (1 - m))) - sum(n)) / nullif(sum(n * (n - 1)), 0), 0.5), 0.001), 0.9) - 1 AS st
+  FROM (SELECT *, least(greatest(prior, 1e-6), 1 - 1e-6) AS m FROM d1)),
+d AS (SELECT domain, k + st * prior AS a, n - k + st * (1 - prior) AS b FROM d1, ds),
+h1 AS (SELECT h.*, a / (a + b) AS prior FROM h JOIN d USING (domain)),
+hs AS (SELECT 1 / least(greatest(coalesce((sum((k - n * m) * (k - n * m) / (m * (1 - m))) - sum(n)) / nullif(sum(n * (n - 1)), 0), 0.5), 0.001), 0.9) - 1 AS st
+  FROM (SELECT *, least(greatest(prior, 1e-6), 1 - 1e-6) AS m FROM h1)),
+hp AS (SELECT host, k + st * prior AS a, n - k + st * (1 - prior) AS b FROM h1, hs),
+names AS (SELECT DISTINCT host, list_aggregate(list_slice(string_split(host, '.'), -2, -1), 'string_agg', '.') AS domain, list_slice(string_split(host, '.'), -1, -1)[1] AS suffix FROM p),
+ab AS (SELECT host, coalesce(hp.a, d.a, s.a) AS a, coalesce(hp.b, d.b, s.b) AS b FROM names LEFT JOIN hp USING (host) LEFT JOIN d USING (domain) LEFT JOIN s USING (suffix)),
+v AS (SELECT host, CASE WHEN host <> '' AND a / (a + b) + 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) < 0.5 THEN 'block' ELSE 'allow' END AS verdict FROM ab)
+SELECT page_id, p.host, p.path, rule, coalesce(hit.verdict, v.verdict) AS verdict FROM p LEFT JOIN hit USING (host, path) JOIN v ON v.host = p.host"""
+
+
+@query("op10_url_filter", URL_SQL)
+def url_filter(spark, sf):
+    """Verdict on every page's url. The document that a page shows is named in its path; its quality label is the page's outcome."""
+    pages, labels = table(spark, sf, "pages"), table(spark, sf, "labels")
+    shown = pages.select(urls.host_of(F.col("url")).alias("host"), F.regexp_extract(urls.path_of(F.col("url")), "^/[^/]+/([0-9]+)", 1).try_cast("long").alias("_doc"))
+    outcome = (labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("_doc")).agg(F.min("quality").alias("good"), F.max("quality").alias("_most"))
+               .where("good = _most").select("_doc", "good"))
+    found = urls.judged(pages.select("page_id", "url"), shown.join(outcome, "_doc").select("host", "good"))
+    return found.select("page_id", "host", "path", "rule", "verdict")
