@@ -1,17 +1,57 @@
-"""From raw documents to training shards, in stages that are each written and read again."""
+"""From raw documents to training shards, in stages that are each written and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
+`documents`. Null texts and empty tables pass through as the operators' docstrings say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trialspark.llm import decontaminate, mixing, quality, sharding, simhash
+from trialspark.llm.common import prepare, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    judged = quality.judged(docs, table(prepare(spark), sf_dir, "labels"), carry=True)
+    return judged.where("kept").select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one of the smallest id, of each group of near-duplicates."""
+    prepare(spark)
+    return simhash.one_of_each(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any benchmark passage."""
+    found = decontaminate.contamination(docs, table(prepare(spark), sf_dir, "benchmark"), prefix="_c_", offsets=False)
+    return found.where(F.col("_c_n_hit") == 0).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them."""
+    prepare(spark)
+    return mixing.repeated(docs)
+
+
+def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their shard and slot."""
+    prepare(spark)
+    return sharding.sharded(docs, carry=True)
+
 
-STAGES = []
-#: Fingerprints, thresholds and hash draws of the stages have no SQL form; tests compare with brute force.
+STAGES = [("quality rules", quality_rules), ("SimHash near-dedup", near_duplicates), ("benchmark decontamination", decontaminated),
+          ("mixing to target weights", mixed), ("sharding", sharded)]
+#: Fingerprints (XXH64) and checksums (CRC-32) have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, in order."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(prepare(spark), sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

@@ -225,3 +225,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     smallest = rooted.groupBy("root").agg(F.min("_first").alias("component_id"))
     named = written(rooted.join(smallest, "root").select("fp", "component_id"), "simhash-named")
     return found.join(named, "fp").select(F.col("_id").alias(id_col), "fp", "component_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3) -> DataFrame:
+    """`docs` with one row per component of near_duplicates(): that of the smallest id, null ids last.
+
+    Of rows with the same id, and of repeated rows, one stays. Rows are written once with a number each, so that both passes
+    over them see the same rows. All columns are kept.
+    """
+    prepare(docs.sparkSession)
+    named = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    rows = written(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()], F.monotonically_increasing_id().alias("_row")), "simhash-rows")
+    own, body = F.col(named[id_col]), F.col(named[text])
+    key = F.struct(own.isNull().alias("none"), own.alias("id"), F.col("_row").alias("row"))
+    groups = near_duplicates(rows.select(key.alias("key"), body.alias("text")), "key", "text", shingle)
+    first = groups.where(F.col("key") == F.col("component_id")).select(F.col("key.row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*[F.col(n).alias(c) for c, n in named.items()])
