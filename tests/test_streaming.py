@@ -9,7 +9,7 @@ from trialspark.operators import replay
 from trialspark.session import scratch
 from trialspark.streaming import lifecycle as L
 from trialspark.streaming import live
-from trialspark.streaming.run import drain, drain_updates, table_stream
+from trialspark.streaming.run import drain, drain_batches, drain_updates, table_stream
 
 FEED = ("seq bigint, us bigint, run_id bigint, trial_id bigint, type string, status string, steps int, idx int, command string, "
         "exit_code int, planned bigint")
@@ -71,43 +71,49 @@ def shown(rows):
 
 @pytest.mark.parametrize("shuffle", [False, True])
 def test_live_steps(spark, feed_rows, shuffle):
-    log = drain(live.live_steps(streamed(spark, feed_rows, FEED, 3, shuffle), delay="30 days"), "t")
-    assert table(live.shown_now(log)) == shown(feed_rows)
+    log = drain_batches(streamed(spark, feed_rows, FEED, 3, shuffle), "t", live.step_changes)
+    assert table(live.shown_now(log, 30 * 86_400)) == shown(feed_rows)
 
 
-def test_live_steps_expire(spark):
+@pytest.mark.parametrize("shuffle", [False, True])
+def test_live_steps_expire(spark, shuffle):
     def step(seq, us, trial, idx):
         return (seq, us, 0, trial, "step", None, None, idx, "c", 0, 1)
     rows = [step(0, 0, 1, 1), step(1, 10 * SEC, 2, 1), step(2, 100 * SEC, 2, 2), step(3, 130 * SEC, 3, 1)]
-    log = drain(live.live_steps(streamed(spark, rows, FEED, 4), ttl_seconds=95), "t")
+    log = drain_batches(streamed(spark, rows, FEED, 4, shuffle), "t", live.step_changes)
     # Trial 1 was silent for 95 s; trial 2 was refreshed in time.
-    assert [(r[0], r[1]) for r in table(live.shown_now(log))] == [(2, 1), (2, 2), (3, 1)]
+    assert [(r[0], r[1]) for r in table(live.shown_now(log, 95))] == [(2, 1), (2, 2), (3, 1)]
 
 
 @pytest.mark.parametrize("shuffle", [False, True])
 def test_run_done_alert(spark, feed_rows, shuffle):
-    got = drain(live.run_done_alerts(streamed(spark, feed_rows, FEED, 4, shuffle)), "t").collect()
-    ends = {}
+    ends = drain_updates(live.first_ends(streamed(spark, feed_rows, FEED, 4, shuffle)), ["run_id", "trial_id"], "t")
+    plan = spark.createDataFrame(feed_rows, FEED).groupBy("run_id").agg(F.max("planned").alias("planned"))
+    got = live.run_done_alerts(ends, plan).collect()
+    first = {}
     for r in sorted(feed_rows):
         if r[4] == "trial" and r[5] != "running":
-            ends.setdefault(r[2], {}).setdefault(r[3], r[0])
-    want = {run: max(t.values()) for run, t in ends.items() if len(t) == 3}
+            first.setdefault(r[2], {}).setdefault(r[3], r[0])
+    assert {r.run_id: r.seq for r in got} == {run: max(t.values()) for run, t in first.items() if len(t) == 3}
     assert len(got) == len({r.run_id for r in got})
-    if not shuffle:
-        assert {r.run_id: r.seq for r in got} == want
-    assert {r.run_id for r in got} == set(want)
 
 
-@pytest.mark.parametrize("shuffle", [False, True])
-def test_stream_loop_guard(spark, shuffle):
+@pytest.mark.parametrize("shuffle,hot", [(False, None), (True, None), (True, 10)])
+def test_stream_loop_guard(spark, shuffle, hot):
     rng = random.Random(4)
     rows = [(t, i, rng.choice("ab") + rng.choice(["", " "]), rng.choice([0, 1, None])) for t in range(5) for i in range(1, 61)]
     schema = "trial_id bigint, idx bigint, command string, exit_code int"
-    got = drain(live.stream_loop_guard(streamed(spark, rows, schema, 3, shuffle)), "t")
+    got = live.stream_loop_guard(drain(live.attempts(streamed(spark, rows, schema, 3, shuffle)), "t"), hot)
     want = replay.loop_guard(spark.createDataFrame(rows, schema), ["idx"], F.col("idx")).select("trial_id", "idx", "repeats")
     assert table(got) == table(want)
 
 
+def test_stream_loop_guard_waits_for_missing_steps(spark):
+    rows = [(1, 1, "a", 0), (1, 2, "a", 0), (1, 4, "a", 0)]
+    stored = spark.createDataFrame(rows, "trial_id bigint, idx bigint, command string, exit_code int")
+    assert table(live.stream_loop_guard(stored)) == [(1, 1, 1), (1, 2, 2)]
+
+
 def test_stream_watchdog(spark):
     rows = [(t, i * SEC, i * SEC, float(40 + (i * t) % 23)) for t in range(5) for i in range(12)]
     schema = "trial_id bigint, us bigint, elapsed_us bigint, disk_mb double"
@@ -116,20 +122,24 @@ def test_stream_watchdog(spark):
     assert table(got) == table(want)
 
 
-def test_heartbeat_gaps(spark):
+@pytest.mark.parametrize("shuffle,hot", [(False, None), (True, None), (True, 2)])
+def test_heartbeat_gaps(spark, shuffle, hot):
+    """Late beats join sessions of earlier batches; sessions that are still open are shown as such."""
     beats = [("w", t * SEC) for t in (0, 10, 20, 60, 70)] + [("x", t * SEC) for t in range(0, 200, 10)]
-    got = drain(live.heartbeat_gaps(streamed(spark, sorted(beats, key=lambda b: b[1]), "worker string, us bigint", 5), "30 seconds"), "t")
-    assert table(got.select("worker", "dead_us", "beats")) == [("w", 50 * SEC, 3), ("w", 100 * SEC, 2)]
+    stream = streamed(spark, sorted(beats, key=lambda b: b[1]), "worker string, us bigint", 5, shuffle)
+    log = drain_batches(stream, "t", lambda batch: live.beat_sessions(batch, "30 seconds"))
+    got = live.heartbeat_gaps(log, 30, hot).select("worker", "first_us", "dead_us", "beats", "open")
+    assert table(got) == [("w", 0, 50 * SEC, 3, False), ("w", 60 * SEC, 100 * SEC, 2, False), ("x", 0, 220 * SEC, 20, True)]
 
 
-def test_windows_drop_late_rows(spark):
+@pytest.mark.parametrize("shuffle", [False, True])
+def test_windows_keep_late_rows_and_the_tail(spark, shuffle):
     rows = [(0, 5 * SEC, 0), (1, 65 * SEC, 1), (2, 500 * SEC, 0), (3, 501 * SEC, 0), (4, 50 * SEC, 1), (5, 505 * SEC, 0), (6, 900 * SEC, 0)]
-    schema = "seq bigint, us bigint, exit_code int"
-    got = drain(live.activity(streamed(spark, rows, schema, 7), "1 minute", delay="2 minutes"), "t")
-    # The row at 50 s comes when the stream already stands at 500 s: beyond the two minutes it may be late.
-    assert table(got.select("start_us", "commands", "failures")) == [(0, 1, 0), (60 * SEC, 1, 1), (480 * SEC, 3, 0)]
-    slid = drain(live.activity(streamed(spark, rows[:3], schema, 1), "1 minute", "30 seconds", "2 minutes"), "t")
-    assert (30 * SEC, 90 * SEC, 1, 1) in table(slid)
+    schema, keys = "seq bigint, us bigint, exit_code int", ["start_us", "end_us"]
+    got = drain_updates(live.activity(streamed(spark, rows, schema, 7, shuffle), "1 minute"), keys, "t")
+    assert table(got.select("start_us", "commands", "failures")) == [(0, 2, 1), (60 * SEC, 1, 1), (480 * SEC, 3, 0), (900 * SEC, 1, 0)]
+    slid = drain_updates(live.activity(streamed(spark, rows[:3], schema, 3), "1 minute", "30 seconds"), keys, "t")
+    assert (30 * SEC, 90 * SEC, 1, 1) in table(slid) and (480 * SEC, 540 * SEC, 1, 0) in table(slid)
 
 
 ACTION = "seq bigint, run_id bigint, trial_id bigint, action string, status string"

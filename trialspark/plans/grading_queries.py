@@ -417,10 +417,9 @@ def percent_halfup(spark, sf):
 
 
 @query("percent_cli", W("recorded graded", """
-  SELECT run_id, format('{:.0f}%', 100.0::DOUBLE * count(*) FILTER (WHERE passed) / count(*)) AS rate FROM graded GROUP BY run_id"""))
+  SELECT run_id, format('{:.0f}%', (count(*) FILTER (WHERE passed)::DOUBLE / count(*)::DOUBLE) * 100.0::DOUBLE) AS rate FROM graded GROUP BY run_id"""))
 def percent_cli(spark, sf):
-    rate = F.lit(100.0) * F.count_if("passed") / F.count(F.lit(1))
-    return B.graded(spark, sf).groupBy("run_id").agg(F.concat(T.fixed(rate, 0), F.lit("%")).alias("rate"))
+    return B.graded(spark, sf).groupBy("run_id").agg(T.percent_half_even(F.count_if("passed") / F.count(F.lit(1))).alias("rate"))
 
 
 @query("fixed_dp", """

@@ -11,7 +11,7 @@ from ..operators import replay
 from ..session import scratch
 from ..streaming import lifecycle as L
 from ..streaming import live
-from ..streaming.run import drain, drain_updates, staged, table_stream
+from ..streaming.run import drain, drain_batches, drain_updates, staged, table_stream
 from . import bindings as B
 from .registry import query
 from .replay_queries import LOOP_SQL
@@ -68,8 +68,8 @@ def live_progress(spark, sf):
   SELECT trial_id, idx, min(seq) AS seq, arg_min(command, seq) AS command FROM shown
   WHERE trial_id IN (SELECT trial_id FROM kept) GROUP BY trial_id, idx"""))
 def live_steps(spark, sf):
-    log = drain(live.live_steps(feed(_events(spark, sf)), ttl_seconds=864_000), "live_steps")
-    return live.shown_now(log)
+    log = drain_batches(feed(_events(spark, sf)), "live_steps", live.step_changes)
+    return live.shown_now(log, ttl_seconds=864_000)
 
 
 @query("run_done_alert", W("feed", """
@@ -79,13 +79,14 @@ def live_steps(spark, sf):
 def run_done_alert(spark, sf):
     plan = (feed(B.table(spark, sf, "events")).select("run_id", "trial_id").distinct()
             .groupBy("run_id").agg(F.count(F.lit(1)).alias("planned")))
-    return drain(live.run_done_alerts(feed(_events(spark, sf)).join(plan, "run_id")), "run_done")
+    ends = drain_updates(live.first_ends(feed(_events(spark, sf))), ["run_id", "trial_id"], "run_done")
+    return live.run_done_alerts(ends, plan)
 
 
 @query("stream_loop_guard", W("steps", f"SELECT trial_id, idx, CAST(repeats AS INT) AS repeats FROM ({LOOP_SQL})"))
 def stream_loop_guard(spark, sf):
     steps = B.steps(spark, sf).select("trial_id", "idx", "command", "exit_code")
-    return drain(live.stream_loop_guard(table_stream(spark, staged(steps, "steps"))), "loop_guard")
+    return live.stream_loop_guard(drain(live.attempts(table_stream(spark, staged(steps, "steps"))), "loop_guard"))
 
 
 @query("stream_watchdog", W("samples", """
@@ -104,29 +105,30 @@ def stream_watchdog(spark, sf):
   WITH beat AS (SELECT user_id AS worker, epoch_us(ts) AS us FROM events WHERE event_type <> 'error'),
   marked AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY worker ORDER BY us) <= 21600000000 THEN 0 ELSE 1 END AS fresh FROM beat),
   sess AS (SELECT *, sum(fresh) OVER (PARTITION BY worker ORDER BY us) AS s FROM marked)
-  SELECT worker, min(us) AS first_us, max(us) + 21600000000 AS dead_us, count(*) AS beats FROM sess GROUP BY worker, s
-  HAVING (max(us) + 21600000000) // 1000 <= (SELECT max(us) // 1000 FROM beat)""")
+  SELECT worker, min(us) AS first_us, max(us) + 21600000000 AS dead_us, count(*) AS beats,
+    max(us) + 21600000000 > (SELECT max(us) FROM beat) AS open FROM sess GROUP BY worker, s""")
 def heartbeat_gap(spark, sf):
     beats = (_events(spark, sf).where("event_type <> 'error'")
              .select(F.col("user_id").alias("worker"), B.micros("ts").alias("us")))
-    return drain(live.heartbeat_gaps(beats, "6 hours"), "heartbeats")
+    log = drain_batches(beats, "heartbeats", lambda batch: live.beat_sessions(batch, "6 hours"))
+    return live.heartbeat_gaps(log, 6 * 3600)
 
 
 def _windows(slide: int) -> str:
     return f"""
   SELECT start_us, start_us + 3600000000 AS end_us, count(*) AS commands, count(*) FILTER (WHERE exit_code <> 0) AS failures
   FROM (SELECT unnest(range(us - us % {slide}, us - 3600000000, -{slide})) AS start_us, exit_code FROM feed)
-  GROUP BY start_us HAVING (start_us + 3600000000) // 1000 <= (SELECT max(us) // 1000 - 600000 FROM feed)"""
+  GROUP BY start_us"""
 
 
 @query("tumbling_activity", W("feed", _windows(3_600_000_000)))
 def tumbling_activity(spark, sf):
-    return drain(live.activity(feed(_events(spark, sf)), "1 hour"), "tumbling")
+    return drain_updates(live.activity(feed(_events(spark, sf)), "1 hour"), ["start_us", "end_us"], "tumbling")
 
 
 @query("sliding_activity", W("feed", _windows(900_000_000)))
 def sliding_activity(spark, sf):
-    return drain(live.activity(feed(_events(spark, sf)), "1 hour", "15 minutes"), "sliding")
+    return drain_updates(live.activity(feed(_events(spark, sf)), "1 hour", "15 minutes"), ["start_us", "end_us"], "sliding")
 
 
 @query("event_feed", W("feed", """

@@ -220,11 +220,11 @@ def history_kept(spark, sf):
     count(*) FILTER (WHERE us - before > 1000000) AS restarts, count(*) AS samples
   FROM (SELECT *, lag(size) OVER w AS prior, lag(us) OVER w AS before FROM (
       SELECT user_id AS source, epoch_us(ts) AS us, event_id AS seq, CAST(round(value * 100) AS BIGINT) AS size FROM events)
-    WINDOW w AS (PARTITION BY source ORDER BY us, seq)) GROUP BY source ORDER BY grown DESC, source LIMIT 20""")
+    WINDOW w AS (PARTITION BY source ORDER BY us, seq)) GROUP BY source""")
 def log_growth(spark, sf):
     sizes = B.clicks(spark, sf).select(F.col("trial_id").alias("source"), "us", F.col("event_id").alias("seq"),
                                        F.round(F.col("value") * 100).cast("bigint").alias("size"))
-    return summaries.file_growth(sizes).orderBy(F.col("grown").desc(), "source").limit(20)
+    return summaries.file_growth(sizes).orderBy(F.col("grown").desc(), "source")
 
 
 # -- workers ----------------------------------------------------------------------

@@ -2,20 +2,20 @@
 
 Feed columns: seq (order of the feed), us (time in microseconds), run_id, trial_id, type,
 status, idx, command, exit_code. Nothing depends on the order rows arrive in, within a
-micro-batch or across them, unless a function says so.
+micro-batch or across them, or on how rows fall into batches, and no row is dropped for being late.
+
+Where a plain aggregate does not say it all, each batch leaves its part in a log (`run.drain_batches`)
+and the view merges the parts when it is read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from .. import constants as C
-from ..operators.replay import breaches
+from ..operators.replay import breaches, loop_guard
+from ..plans import ordered
 from ..plans.joins import join_one
 
 
@@ -35,169 +35,88 @@ def stream_watchdog(samples: DataFrame, trial_timeout: int, disk_limit_mb: int)
     return breaches(samples, trial_timeout, disk_limit_mb)
 
 
-def heartbeat_gaps(beats: DataFrame, ttl: str, delay: str = "0 seconds") -> DataFrame:
-    """Times a worker fell silent for `ttl`: the end of a session of beats is its time of death."""
-    timed = beats.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", delay)
-    return (timed.groupBy(F.session_window("ts", ttl), "worker").agg(F.count(F.lit(1)).alias("beats"))
-            .select("worker", F.unix_micros("session_window.start").alias("first_us"),
-                    F.unix_micros("session_window.end").alias("dead_us"), "beats"))
+def beat_sessions(beats: DataFrame, ttl: str) -> DataFrame:
+    """One batch of beats (worker, us) as its sessions: runs of beats of a worker no further apart than `ttl`."""
+    return (beats.groupBy(F.session_window(F.timestamp_micros("us"), ttl), "worker")
+            .agg(F.min("us").alias("first_us"), F.max("us").alias("last_us"), F.count(F.lit(1)).alias("beats"))
+            .select("worker", "first_us", "last_us", "beats"))
 
 
-def activity(feed: DataFrame, width: str, slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
-    """Commands and failed commands per time window."""
-    timed = feed.withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", delay)
-    span = F.window("ts", width, slide) if slide else F.window("ts", width)
-    return (timed.groupBy(span).agg(F.count(F.lit(1)).alias("commands"), F.count_if(F.col("exit_code") != 0).alias("failures"))
+def heartbeat_gaps(sessions: DataFrame, ttl_seconds: int, hot_rows: int | None = None) -> DataFrame:
+    """Times a worker falls silent, from the sessions of all batches; `open` where that time is yet to come.
+
+    Sessions of different batches that overlap, or are no further apart than the time to live, are one.
+    """
+    ttl = ttl_seconds * 1_000_000
+    parts = sessions.groupBy("worker", "first_us", "last_us").agg(F.sum("beats").alias("beats"))
+    order, at = ["first_us", "last_us"], F.col("first_us")
+    seen = ordered.running(parts, ["worker"], order, at, {"_before": ("max", F.col("last_us"))}, through_current=False, hot_rows=hot_rows)
+    fresh = F.coalesce(F.col("first_us") - F.col("_before") > ttl, F.lit(True)).cast("int")
+    numbered = ordered.running(seen.withColumn("_fresh", fresh), ["worker"], order, at, {"_session": ("sum", F.col("_fresh"))}, hot_rows=hot_rows)
+    now = sessions.agg(F.max("last_us").alias("_now"))
+    return (numbered.groupBy("worker", "_session").agg(F.min("first_us").alias("first_us"), (F.max("last_us") + ttl).alias("dead_us"), F.sum("beats").alias("beats"))
+            .join(F.broadcast(now))  # one row
+            .select("worker", "first_us", "dead_us", "beats", (F.col("dead_us") > F.col("_now")).alias("open")))
+
+
+def activity(feed: DataFrame, width: str, slide: str | None = None) -> DataFrame:
+    """Commands and failed commands per time window so far. State is one row per window; none is closed."""
+    ts = F.timestamp_micros("us")
+    span = F.window(ts, width, slide) if slide else F.window(ts, width)
+    return (feed.groupBy(span).agg(F.count(F.lit(1)).alias("commands"), F.count_if(F.col("exit_code") != 0).alias("failures"))
             .select(F.unix_micros("window.start").alias("start_us"), F.unix_micros("window.end").alias("end_us"),
                     "commands", "failures"))
 
 
-# Processors are built inside functions so that they travel to executors whole.
+def first_ends(feed: DataFrame) -> DataFrame:
+    """The seq at which each trial first ended."""
+    final = tuple(C.GRADED) + ("cancelled",)
+    return (feed.where((F.col("type") == "trial") & F.col("status").isin(*final))
+            .groupBy("run_id", "trial_id").agg(F.min("seq").alias("seq")))
+
+
+def run_done_alerts(ends: DataFrame, plan: DataFrame) -> DataFrame:
+    """One row per run all of whose `planned` trials have ended, with the seq that completed it; plan: (run_id, planned)."""
+    ended = ends.groupBy("run_id").agg(F.count(F.lit(1)).alias("trials"), F.max("seq").alias("seq"))
+    return ended.join(plan, "run_id").where("trials = planned").select("run_id", "trials", "seq")
+
 
-def run_done_alerts(feed: DataFrame) -> DataFrame:
-    """One row when the last planned trial of a run has ended, from trial events with `planned`.
+def attempts(steps: DataFrame) -> DataFrame:
+    """What the loop guard needs of a step, as a stream leaves it in its table."""
+    return steps.select("trial_id", F.col("idx").cast("bigint").alias("idx"), "command", "exit_code")
 
-    Two steps, so that a run with very many trials is not held under one key: each trial
-    remembers that it has ended and passes on its first end only; the run just counts those.
+
+def stream_loop_guard(stored: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """`repeats` of each step so far among the last commands of its trial: the batch rule over the stored steps.
+
+    A step that came early waits for those before it: only steps numbered without a gap are judged.
     """
-    final = tuple(C.GRADED) + ("cancelled",)
+    at = F.col("idx")
+    numbered = ordered.numbered(stored, ["trial_id"], ["idx"], at, "_n", hot_rows=hot_rows)
+    return loop_guard(numbered.where(at == F.col("_n")), ["idx"], at, hot_rows=hot_rows).select("trial_id", "idx", F.col("repeats").cast("int").alias("repeats"))
+
 
-    class FirstEnd(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.ended = handle.getValueState("ended", "seq bigint")
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            if self.ended.exists():
-                return
-            firsts = [part.loc[part["seq"].idxmin()] for part in rows]
-            first = min(firsts, key=lambda r: r["seq"])
-            self.ended.update((int(first["seq"]),))
-            yield pd.DataFrame({"run_id": [key[0]], "seq": [int(first["seq"])], "planned": [int(first["planned"])]})
-
-        def close(self) -> None:
-            pass
-
-    class Alerts(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.count = handle.getValueState("count", "ended bigint, last bigint")
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            ended, last = self.count.get() if self.count.exists() else (0, 0)
-            for part in rows:
-                ended, last, planned = ended + len(part), max(last, int(part["seq"].max())), int(part["planned"].iloc[0])
-            self.count.update((ended, last))
-            if ended == planned:
-                yield pd.DataFrame({"run_id": [key[0]], "trials": [ended], "seq": [last]})
-
-        def close(self) -> None:
-            pass
-
-    ended = feed.where((F.col("type") == "trial") & F.col("status").isin(*final))
-    firsts = ended.select("run_id", "trial_id", "seq", "planned").groupBy("run_id", "trial_id").transformWithStateInPandas(
-        statefulProcessor=FirstEnd(), outputStructType="run_id bigint, seq bigint, planned bigint",
-        outputMode="Append", timeMode="None")
-    return firsts.groupBy("run_id").transformWithStateInPandas(
-        statefulProcessor=Alerts(), outputStructType="run_id bigint, trials bigint, seq bigint",
-        outputMode="Append", timeMode="None")
-
-
-def stream_loop_guard(steps: DataFrame, window: int = C.REPEAT_WINDOW) -> DataFrame:
-    """`repeats` of each step among the last ten commands of its trial, from (trial_id, idx, command, exit_code).
-
-    Steps are taken in index order: one that comes too early waits in keyed state until the
-    steps before it are there. State per trial: the next index, the last nine commands, those waiting.
+def step_changes(feed: DataFrame) -> DataFrame:
+    """One batch's changes of the steps shown for running trials: `show` a step, or `clear` all up to a seq.
+
+    A trial event (start or end) clears. `us` carries the time of a step, or the last time a trial was heard of.
     """
-    class Guard(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.recent = handle.getValueState("recent", "next bigint, seen array<string>")
-            self.waiting = handle.getMapState("waiting", "idx bigint", "attempt string")
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            due, seen = self.recent.get() if self.recent.exists() else (1, [])
-            seen = list(seen)
-            for part in rows:
-                out = []
-                held = self.waiting.exists()
-                for idx, attempt in sorted(zip(part["idx"].tolist(), part["attempt"].tolist())):
-                    if idx != due:
-                        if idx > due:
-                            self.waiting.updateValue((idx,), (attempt,))
-                            held = True
-                        continue
-                    while attempt is not None:
-                        seen = (seen + [attempt])[-window:]
-                        out.append((key[0], due, seen.count(attempt)))
-                        due, attempt = due + 1, None
-                        if held and self.waiting.containsKey((due,)):
-                            attempt = self.waiting.getValue((due,))[0]
-                            self.waiting.removeKey((due,))
-                if out:
-                    yield pd.DataFrame(out, columns=["trial_id", "idx", "repeats"])
-            self.recent.update((due, seen[1 - window:]))
-
-        def close(self) -> None:
-            pass
-
-    from ..functions.text import strip
-    attempt = F.concat(F.coalesce(F.col("exit_code").cast("string"), F.lit("none")), F.lit(" "), strip(F.col("command")))
-    return (steps.select("trial_id", F.col("idx").cast("bigint").alias("idx"), attempt.alias("attempt"))
-            .groupBy("trial_id").transformWithStateInPandas(
-                statefulProcessor=Guard(), outputStructType="trial_id bigint, idx bigint, repeats int",
-                outputMode="Append", timeMode="None"))
-
-
-def live_steps(feed: DataFrame, ttl_seconds: int = C.LIVE_STEPS_SECONDS, delay: str = "0 seconds") -> DataFrame:
-    """Changes of the steps shown for running trials: `show` a step, or `clear` all up to a seq.
-
-    A trial event (start or end) clears; so do `ttl_seconds` of stream time without a new step.
-    State per trial is what was cleared and when it expires, not its steps: `shown_now` turns the
-    changes into the list, taking per index the first step since the last clearing.
+    shows = feed.where("type = 'step'").select("trial_id", F.lit("show").alias("op"), "seq", "idx", "command", "us")
+    clears = (feed.where("type <> 'step'").groupBy("trial_id").agg(F.max("seq").alias("seq"), F.max("us").alias("us"))
+              .select("trial_id", F.lit("clear").alias("op"), "seq", F.lit(None).cast("int").alias("idx"), F.lit(None).cast("string").alias("command"), "us"))
+    return shows.unionByName(clears)
+
+
+def shown_now(changes: DataFrame, ttl_seconds: int = C.LIVE_STEPS_SECONDS) -> DataFrame:
+    """The steps shown at the end of a log of changes: per index the first since the last clearing.
+
+    A trial without a new step for `ttl_seconds` of feed time shows none.
     """
-    columns = ["trial_id", "op", "seq", "idx", "command"]
-
-    class Steps(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.handle = handle
-            self.marks = handle.getValueState("marks", "cleared bigint, last_seq bigint, expires_ms bigint")
-
-        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
-            cleared, last_seq, expires = self.marks.get() if self.marks.exists() else (-1, -1, 0)
-            before, due = cleared, expires
-            for part in rows:
-                last_seq = max(last_seq, int(part["seq"].max()))
-                is_step = part["type"] == "step"
-                if not is_step.all():
-                    cleared = max(cleared, int(part.loc[~is_step, "seq"].max()))
-                fresh = part[is_step & (part["seq"] > cleared)]
-                if len(fresh):
-                    due = max(due, int(fresh["us"].max()) // 1000 + ttl_seconds * 1000)
-                    yield fresh.assign(op="show")[columns].astype({"idx": "Int32"})
-            if cleared > before:
-                yield pd.DataFrame([(key[0], "clear", cleared, None, None)], columns=columns).astype({"idx": "Int32"})
-            if due != expires:
-                if expires:
-                    self.handle.deleteTimer(expires)
-                self.handle.registerTimer(due)
-            self.marks.update((cleared, last_seq, due))
-
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            cleared, last_seq, _ = self.marks.get()
-            self.marks.update((max(cleared, last_seq), last_seq, 0))
-            yield pd.DataFrame([(key[0], "clear", last_seq, None, None)], columns=columns).astype({"idx": "Int32"})
-
-        def close(self) -> None:
-            pass
-
-    timed = (feed.select("trial_id", "type", "seq", "us", "idx", "command")
-             .withColumn("ts", F.timestamp_micros("us")).withWatermark("ts", delay))
-    return timed.groupBy("trial_id").transformWithStateInPandas(
-        statefulProcessor=Steps(), outputStructType="trial_id bigint, op string, seq bigint, idx int, command string",
-        outputMode="Append", timeMode="EventTime")
-
-
-def shown_now(changes: DataFrame) -> DataFrame:
-    """The steps shown at the end of a log of `live_steps` changes."""
     cleared = changes.where("op = 'clear'").groupBy("trial_id").agg(F.max("seq").alias("_cleared"))
     shows = join_one(changes.where("op = 'show'"), cleared, ["trial_id"], "left")
     live = shows.where(F.coalesce(F.col("seq") > F.col("_cleared"), F.lit(True)))
-    return (live.groupBy("trial_id", "idx").agg(F.min("seq").alias("seq"), F.min_by("command", "seq").alias("command")))
+    steps = (live.groupBy("trial_id", "idx").agg(F.min("seq").alias("seq"), F.min_by("command", "seq").alias("command"), F.max("us").alias("_us")))
+    clock = changes.agg(F.max("us").alias("_clock"))
+    fresh = (steps.groupBy("trial_id").agg(F.max("_us").alias("_last")).join(F.broadcast(clock))  # one row
+             .where(F.floor(F.col("_last") / 1000) + ttl_seconds * 1000 > F.floor(F.col("_clock") / 1000)).select("trial_id"))
+    return steps.join(fresh, "trial_id", "left_semi").select("trial_id", "idx", "seq", "command")

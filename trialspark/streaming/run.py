@@ -71,6 +71,18 @@ def drain_updates(stream: DataFrame, keys: list[str], name: str, target: str | N
     return latest.select(*keys, "r.*")
 
 
+def drain_batches(stream: DataFrame, name: str, fold: Callable[[DataFrame], DataFrame], target: str | None = None) -> DataFrame:
+    """Keep fold(batch) of every micro-batch as a log; return the log. A batch that is run again overwrites its own part."""
+    spark = stream.sparkSession
+    target = target or scratch(spark, name)
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        fold(batch).write.mode("overwrite").parquet(f"{target}/log/batch={batch_id}")
+
+    each_batch(stream, target, "append", save)
+    return spark.read.parquet(f"{target}/log").drop("batch")
+
+
 def table_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """A Parquet table as a stream, with the schema it has; the table is a folder or a single file."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
