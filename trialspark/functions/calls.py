@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,25 +38,28 @@ def native_calls(messages: DataFrame) -> DataFrame:
 
 def _call_scanner(names: tuple[str, ...]):
     # Defined here so that the function travels to executors whole, without this package.
-    def scan(text: str | None) -> list[dict]:
-        found, decoder, at = [], json.JSONDecoder(), -1
-        if text is None:
-            return found
-        while (at := text.find("{", at + 1)) >= 0:
+    def outermost(text: str) -> list[dict]:
+        """JSON objects in a text that lie in no other one."""
+        read, objects, covered = json.JSONDecoder().raw_decode, [], 0
+        for brace in re.finditer(r"\{", text):
+            if brace.start() < covered:
+                continue
             try:
-                value, end = decoder.raw_decode(text, at)
-            except (json.JSONDecodeError, RecursionError):
-                continue  # not an object here: try the next brace
-            name = value.get("name")
-            if isinstance(name, str) and name in names:
-                args = value.get("arguments") or value.get("parameters")
-                found.append({"call_id": f"text_call_{len(found)}", "name": name,
-                              "args": json.dumps(args if isinstance(args, dict) else {})})
-            at = end - 1  # objects inside this one are not calls
-        return found
+                value, covered = read(text, brace.start())
+            except (ValueError, RecursionError):
+                continue
+            objects.append(value)
+        return objects
+
+    def call(number: int, value: dict) -> dict:
+        given = [value[k] for k in ("arguments", "parameters") if value.get(k)]
+        args = given[0] if given and isinstance(given[0], dict) else {}
+        return {"call_id": f"text_call_{number}", "name": value["name"], "args": json.dumps(args)}
 
     def scan_texts(texts: pd.Series) -> pd.Series:
-        return texts.map(scan)
+        found = texts.fillna("").map(outermost)
+        known = found.map(lambda objects: [v for v in objects if isinstance(v.get("name"), str) and v["name"] in names])
+        return known.map(lambda calls: [call(i, v) for i, v in enumerate(calls)])
 
     return F.pandas_udf(scan_texts, CALLS)
 

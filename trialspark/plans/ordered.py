@@ -6,7 +6,8 @@ what earlier chunks pass on (a count, a sum, a maximum, the last rows) is comput
 row per chunk and joined back. Ordinary groups are a single chunk, so they cost one shuffle
 like a plain window. The join reuses the window's partitioning: no second shuffle of the rows.
 
-The list of hot groups is broadcast. It cannot exceed rows / hot_rows entries.
+The list of hot groups is found first, by one job when the plan is built, kept in the shared folder and
+broadcast. It cannot exceed rows / hot_rows entries.
 Groups with a null key are never cut; results are the same, only less parallel.
 
 Rows cut once with `chunked` can pass through several of these functions without another
@@ -22,6 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from ..session import shared_dir
+
 HOT_ROWS = 5_000_000
 BOUNDED = -1
 
@@ -54,6 +57,11 @@ def chunked(df: DataFrame, keys: Sequence[str], position: Column, hot_rows: int
            .where(F.col("_rows") > limit)
            .select(*[F.col(k).alias(f"_hot_{k}") for k in keys], "_low",
                    F.ceil((F.col("_high") - F.col("_low") + 1) / pieces).cast("bigint").alias("_width")))
+    # The list is settled first: without a hot group the rest of the plan is a plain window.
+    shared_dir(df.sparkSession)
+    hot = hot.checkpoint()
+    if hot.isEmpty():
+        return df.select("*", F.lit(False).alias("_hot"), F.lit(0).cast("bigint").alias("_chunk"))
     joined = df.join(F.broadcast(hot), _matches(df, hot, [(k, f"_hot_{k}") for k in keys]), "left")
     past = at - F.col("_low")
     chunk = F.coalesce(past - F.pmod(past, F.col("_width")), F.lit(0).cast("bigint"))
@@ -151,7 +159,6 @@ def positions(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     The sorted rows are checkpointed in the shared folder, so that numbering and counting
     see the same partitions; then one count per partition gives every partition its start.
     """
-    from ..session import shared_dir
     shared_dir(df.sparkSession)
     fixed = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
     part = F.shiftright("_id", 33)
