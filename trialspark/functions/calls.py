@@ -26,7 +26,6 @@ def native_calls(messages: DataFrame) -> DataFrame:
             .select("*", F.posexplode(F.from_json("tool_calls", _NATIVE)).alias("_i", "_c")))
     raw = F.col("_c.function.arguments")
     # Arguments come as an object, or as JSON text that may be blank or broken.
-    parsed = F.coalesce(F.try_parse_json(F.try_variant_get(raw, "$", "string")), raw)
     is_text = F.schema_of_variant(raw) == "STRING"
     args = F.when(is_text, _object_or_empty(F.try_parse_json(F.try_variant_get(raw, "$", "string")))
                   ).otherwise(_object_or_empty(raw))

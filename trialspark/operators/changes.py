@@ -1,8 +1,8 @@
 """File-change lists of trials: leaves of the directory tree, tampering, baselines.
 
 Tests like "is any other path below this one" become equality joins on the directories above
-each path, so no trial's list is ever compared pairwise. Right sides of semi and anti joins are left
-as they are, not made distinct first: adaptive execution then can split a hot left side.
+each path, so no trial's list is ever compared pairwise. The directories above are made distinct first: a
+directory of many files would else meet each of its rows.
 """
 
 from __future__ import annotations

@@ -17,6 +17,13 @@ def trial_plan(requests: DataFrame) -> DataFrame:
                     "run_id", "task", "trial_no", F.lit("queued").alias("status")))
 
 
+def named_tasks(requests: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Requests with a task each: one that names none (null) asks for every task of the catalogue (task)."""
+    named = requests.where(F.col("task").isNotNull())
+    every = requests.where(F.col("task").isNull()).drop("task").join(catalogue.select("task").distinct())
+    return named.unionByName(every.select(*requests.columns))
+
+
 def unknown_tasks(requested: DataFrame, catalogue: DataFrame) -> DataFrame:
     """Requested (run_id, ord, task) rows that the catalogue (task) does not hold."""
     return requested.join(catalogue.select("task"), "task", "left_anti")

@@ -151,7 +151,7 @@ def token_totals(usage: DataFrame) -> DataFrame:
 def showcase_trial(trials: DataFrame) -> DataFrame:
     """The trial of each run that replays best: passing with 2-8 steps, then most steps.
 
-    Ties go to the first in (task, trial_no) order. One aggregate, no sort of a run's trials.
+    Ties go to the first in (task, trial_no) order. One aggregate per run; its buffer holds text, so rows are sorted by run before it.
     """
     preferred = (F.col("status") == "PASS") & F.col("steps").between(2, 8)
     rank = F.struct((~preferred).cast("int"), -F.col("steps"), F.col("task"), F.col("trial_no"))

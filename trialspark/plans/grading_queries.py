@@ -177,14 +177,19 @@ def unknown_tasks(spark, sf):
 
 
 @query("trial_plan", """
-  SELECT o_custkey AS run_id, o_orderpriority AS task, unnest(range(1, 4)) AS trial_no, 'queued' AS status
-  FROM (SELECT DISTINCT o_custkey, o_orderpriority FROM orders)""")
+  SELECT run_id, task, unnest(range(1, 4)) AS trial_no, 'queued' AS status,
+    substr(sha256(run_id || '/' || task || '/' || unnest(range(1, 4))), 1, 12) AS id
+  FROM (SELECT DISTINCT o_custkey AS run_id, o_orderpriority AS task FROM orders WHERE o_custkey % 7 <> 0
+    UNION ALL SELECT run_id, task FROM (SELECT DISTINCT o_custkey AS run_id FROM orders WHERE o_custkey % 7 = 0),
+      (SELECT DISTINCT o_orderpriority AS task FROM orders))""")
 def trial_plan(spark, sf):
-    asked = (B.table(spark, sf, "orders")
-             .select(F.col("o_custkey").alias("run_id"), F.col("o_orderpriority").alias("task")).distinct()
+    """Every seventh run names no task and so asks for all."""
+    orders = B.table(spark, sf, "orders")
+    task = F.when(F.col("o_custkey") % 7 != 0, F.col("o_orderpriority"))
+    asked = (orders.select(F.col("o_custkey").alias("run_id"), task.alias("task")).distinct()
              .withColumn("trials", F.lit(3).cast("bigint")))
-    plan = fleet.trial_plan(asked.withColumn("trials", F.col("trials")))
-    return plan.select("run_id", "task", F.col("trial_no").cast("bigint").alias("trial_no"), "status")
+    plan = fleet.trial_plan(fleet.named_tasks(asked, orders.select(F.col("o_orderpriority").alias("task"))))
+    return plan.select("run_id", "task", F.col("trial_no").cast("bigint").alias("trial_no"), "status", "id")
 
 
 @query("short_id", """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from ..functions import calls as K
 from ..operators import replay
 from . import bindings as B
@@ -43,7 +44,7 @@ def stuck_trials(spark, sf):
 
 def _replies(spark, sf):
     # The step cap also ends the replies, so what is left of each trial is small.
-    rows = B.replies(spark, sf).where("reply <= 30").drop("_hot", "_chunk")
+    rows = B.replies(spark, sf).where(F.col("reply") <= C.MAX_STEPS).drop("_hot", "_chunk")
     before = ordered.running(rows, TRIAL, ["reply"], F.col("reply"), {"_v": ("sum", F.col("violated").cast("bigint"))},
                              through_current=False, hot_rows=ordered.BOUNDED)
     return before.withColumn("violated_before", F.col("_v") > 0).drop("_v")

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import constants as C
 from .. import schemas
 
 SCHEME = "^[a-z][a-z0-9+.-]*:/*"
@@ -41,18 +42,19 @@ def _decoded(path):
 def task_files(spark: SparkSession, root: str) -> DataFrame:
     """(task, relpath, content) of every file below `root`.
 
-    A root that holds instruction.md is itself the one task; otherwise its direct children are.
+    Only the files that make a task are listed and read. A root that holds instruction.md is itself the one task;
+    otherwise its direct children are.
     """
     base = re.sub(SCHEME, "/", root.rstrip("/"))
-    files = _with_empty(_listing(spark, root))
+    names = ",".join(sorted({f.rsplit("/", 1)[-1] for f in (*C.TASK_FILES, "task.json")}))
+    files = _with_empty(_listing(spark, root, "{" + names + "}"))
     below = F.regexp_extract("path", f"^/\\Q{base.lstrip('/')}\\E/(.*)$", 1)
     rel = files.select(below.alias("rel"), F.coalesce("content", F.lit("").cast("binary")).alias("content"))
-    lone = rel.where(F.col("rel") == "instruction.md").limit(1).count() > 0
-    if lone:
-        return rel.select(F.lit(base.rsplit("/", 1)[-1]).alias("task"), F.col("rel").alias("relpath"), "content")
-    return (rel.where(F.contains("rel", F.lit("/")))
-            .select(F.regexp_extract("rel", "^([^/]+)/", 1).alias("task"),
-                    F.regexp_extract("rel", "^[^/]+/(.*)$", 1).alias("relpath"), "content"))
+    lone = rel.agg(F.coalesce(F.bool_or(F.col("rel") == "instruction.md"), F.lit(False)).alias("_lone"))
+    inner = F.contains("rel", F.lit("/"))
+    return (rel.join(F.broadcast(lone)).where(F.col("_lone") | inner)  # one row
+            .select(F.when(F.col("_lone"), F.lit(base.rsplit("/", 1)[-1])).otherwise(F.regexp_extract("rel", "^([^/]+)/", 1)).alias("task"),
+                    F.when(F.col("_lone"), F.col("rel")).otherwise(F.regexp_extract("rel", "^[^/]+/(.*)$", 1)).alias("relpath"), "content"))
 
 
 def trial_records(spark: SparkSession, root: str, multiline: bool = True) -> DataFrame:
