@@ -202,7 +202,8 @@ def doubtful_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents (k1, k2, doc, text) -> (k1, k2, first, number): windows that occur elsewhere too, `number` neighbours per row."""
     found = written(anchors(docs, window), "anchors")
-    names = found.groupBy("name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("name")
+    # Written first: a join with an aggregate could not be split where a name is hot.
+    names = written(found.groupBy("name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("name"), "shared-names")
     shared = written(found.join(names, "name"), "shared-anchors")
     stretches = written(shared.groupBy("name", "stretch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "first")).alias("one")), "stretches")
     settled = shared.join(stretches.where("n > 1").select("name", "stretch"), ["name", "stretch"]).select("k1", "k2", "first", "number")
