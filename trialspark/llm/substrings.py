@@ -212,7 +212,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     doubtful = (stretches.join(mixed, "name").groupBy(F.col("one.k1").alias("k1"), F.col("one.k2").alias("k2"))
                 .agg(F.collect_list("one.first").alias("doubtful")))
     windows = doubtful_windows(docs.join(doubtful, ["k1", "k2"]).select("k1", "k2", "doc", "text", "doubtful"), window)
-    twice = windows.groupBy("name", "hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("name", "hash")
+    # Written first, as the shared names are: a passage amid ever differing surroundings is a hot window.
+    twice = written(windows.groupBy("name", "hash").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("name", "hash"), "repeated-windows")
     return settled.unionByName(windows.join(twice, ["name", "hash"]).select("k1", "k2", "first", F.lit(1).alias("number")))
 
 
@@ -225,9 +226,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wi
     prepare(docs.sparkSession)
     keyed = docs.select(F.xxhash64(F.col(id_col)).alias("k1"), F.xxhash64(F.col(text), F.col(id_col)).alias("k2"),
                         F.col(id_col).alias("doc"), F.col(text).alias("text"))
-    # A window's place fits a long with its length; a document has no more places than words.
+    # A window's place fits a long with its length. A set, which merges map-side: repeated rows share a key, and the places of
+    # any number of them are no more than a document has words.
     gone = (repeated_windows(keyed, window).groupBy("k1", "k2")
-            .agg(F.collect_list(F.shiftleft(F.col("first").cast("long"), 20).bitwiseOR(F.col("number").cast("long"))).alias("gone")))
+            .agg(F.collect_set(F.shiftleft(F.col("first").cast("long"), 20).bitwiseOR(F.col("number").cast("long"))).alias("gone")))
     joined = keyed.join(gone, ["k1", "k2"], "left").select("doc", "text", "gone")
 
     def run(batches):
