@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch
 from . import kernels
-from .common import prepare
+from .common import prepare, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -102,8 +102,9 @@ def scanned(versions: DataFrame, ledger: str | None = None, text: str = "text",
     blobs = (versions.select(blob_of(F.col(text)).alias("blob"), F.coalesce(F.col(text), F.lit("")).alias("text")).groupBy("blob").agg(F.first("text").alias("text")))
     known = read_ledger(spark, ledger).where(F.col("rules") == version)
     scan_blobs(blobs.join(known.select("blob"), "blob", "left_anti"), version).write.mode("append").parquet(ledger)
-    found = (spark.read.schema(LEDGER).parquet(ledger).where((F.col("rules") == version) & (F.size("spans") > 0))
-             .groupBy("blob").agg(F.first("spans").alias("spans")))
+    # Written first: a join with an aggregate could not be split where a blob has very many paths.
+    found = written(spark.read.schema(LEDGER).parquet(ledger).where((F.col("rules") == version) & (F.size("spans") > 0))
+                    .groupBy("blob").agg(F.first("spans").alias("spans")), "secret-findings")
     keep = [c for c in versions.columns if c not in (text, "blob", "spans")]
     return (versions.select(*keep, blob_of(F.col(text)).alias("blob")).join(found, "blob", "left")
             .select(*keep, "blob", F.coalesce("spans", F.array().cast("array<struct<kind:string,start:long,end:long>>")).alias("spans")))
