@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate as decontamination
 from . import extract, mixing, quality, secrets, sharding, simhash, substrings, toxicity, urls
-from .common import prepare, table
+from .common import prepare, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -171,5 +171,6 @@ def url_filter(spark, sf):
     shown = pages.select(urls.host_of(F.col("url")).alias("host"), F.regexp_extract(urls.path_of(F.col("url")), "^/[^/]+/([0-9]+)", 1).try_cast("long").alias("_doc"))
     outcome = (labels.where(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").alias("_doc")).agg(F.min("quality").alias("good"), F.max("quality").alias("_most"))
                .where("good = _most").select("_doc", "good"))
+    outcome = written(outcome, "page-outcomes")  # so that the join can be split where very many pages show one document
     found = urls.judged(pages.select("page_id", "url"), shown.join(outcome, "_doc").select("host", "good"))
     return found.select("page_id", "host", "path", "rule", "verdict")
