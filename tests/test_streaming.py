@@ -114,6 +114,17 @@ def test_stream_loop_guard_waits_for_missing_steps(spark):
     assert table(live.stream_loop_guard(stored)) == [(1, 1, 1), (1, 2, 2)]
 
 
+@pytest.mark.parametrize("hot", [None, 10])
+def test_stream_loop_guard_counts_repeated_steps_once(spark, hot):
+    """Two batches, the second of which brings steps of the first again."""
+    rows = [(t, i, "ab"[i % 7 == 0], i % 2) for t in range(3) for i in range(1, 41)]
+    schema = "trial_id bigint, idx bigint, command string, exit_code int"
+    again = rows[:25] + rows[15:] + [r for r in rows if r[1] in (3, 4)]
+    got = live.stream_loop_guard(drain(live.attempts(streamed(spark, again, schema, 2, False)), "t"), hot)
+    want = replay.loop_guard(spark.createDataFrame(rows, schema), ["idx"], F.col("idx")).select("trial_id", "idx", "repeats")
+    assert table(got) == table(want)
+
+
 def test_stream_watchdog(spark):
     rows = [(t, i * SEC, i * SEC, float(40 + (i * t) % 23)) for t in range(5) for i in range(12)]
     schema = "trial_id bigint, us bigint, elapsed_us bigint, disk_mb double"

@@ -89,10 +89,12 @@ def attempts(steps: DataFrame) -> DataFrame:
 def stream_loop_guard(stored: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """`repeats` of each step so far among the last commands of its trial: the batch rule over the stored steps.
 
-    A step that came early waits for those before it: only steps numbered without a gap are judged.
+    A step that came early waits for those before it: only steps numbered without a gap are judged. A step that was
+    delivered again counts once; should its deliveries differ, the same one is taken whatever their order.
     """
     at = F.col("idx")
-    numbered = ordered.numbered(stored, ["trial_id"], ["idx"], at, "_n", hot_rows=hot_rows)
+    once = stored.groupBy("trial_id", "idx").agg(F.min(F.struct("command", "exit_code")).alias("_step")).select("trial_id", "idx", "_step.*")
+    numbered = ordered.numbered(once, ["trial_id"], ["idx"], at, "_n", hot_rows=hot_rows)
     return loop_guard(numbered.where(at == F.col("_n")), ["idx"], at, hot_rows=hot_rows).select("trial_id", "idx", F.col("repeats").cast("int").alias("repeats"))
 
 
