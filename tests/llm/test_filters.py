@@ -132,6 +132,18 @@ def test_main_text(spark):
     assert extract.extracted(pages.limit(0)).collect() == []
 
 
+PROSE = "A sentence of the body that has many words and hardly a tag. " * 4
+
+
+@pytest.mark.parametrize("page", [
+    '<div class="content with-sidebar"><article>{0}{1}</article><div class="sidebar"><p>gone</p></div></div>',
+    '<div class="widget Blog"><div class="post">{0}{1}</div></div><div class="widget"><p>gone</p></div>',
+    '<article>{0}{1}</article><div class="related"><article>gone</article></div><div id="comments"><p>gone</p></div>'])
+def test_marks_do_not_take_the_article(page):
+    texts = ["One " + PROSE.strip(), "Two " + PROSE.strip()]
+    assert extract.main_text("<body>" + page.format(*[f"<p>{t}</p>" for t in texts]) + "</body>").split("\n") == texts
+
+
 def test_url_rules(spark):
     prepare(spark)
     cases = {"https://WWW.Example.com/en/1?q": ("www.example.com", "/en/1", "www.example.com/en/", "allow"), "http://m.example.com/en/": ("m.example.com", "/en/", "example.com/en/", "block"),

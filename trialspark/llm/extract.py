@@ -25,11 +25,13 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIPPED = frozenset("""aside button canvas datalist dialog footer form head header iframe input label nav noscript object script search select style svg
  template textarea title menu audio video map math""".split())
 CONTAINERS = frozenset("article main section div body td html".split())
-#: Words of class, id or role that mark boilerplate.
+#: Names in class, id or role that mark boilerplate.
 MARKS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr
  header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promos promoted related share sharing sidebar
  sidebars signup social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo alert alertdialog reactions replies respond discussion
  recommended recommendations""".split())
+#: A name of several words marks boilerplate if all of them are marks or these (site-footer, but not with-sidebar).
+NEUTRAL = frozenset("area bar block bottom box container global left links list main page posts right section site top wrap wrapper".split())
 #: End tags that an opening tag of these kinds implies.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("ul ol menu dl table select body html article main section div nav aside footer header".split())
@@ -42,22 +44,27 @@ def page_parser():
     words = re.compile(r"[a-z]+")
 
     class Lines(HTMLParser):
-        """Lines of a page: [text, tags, boilerplate, container path]."""
+        """Lines of a page: (text, tags, boilerplate by its tag or hidden, container, innermost mark, in an article or main, heading)."""
 
         def __init__(self):
             super().__init__(convert_charrefs=True)
-            self.open: list[tuple[str, bool, int]] = []  # tag, starts boilerplate, container number
+            self.open: list[tuple[str, bool, int, int]] = []  # tag, starts boilerplate, container number, mark number
             self.skip, self.lines, self.parts, self.tags = 0, [], [], 0
             self.parents = [-1]  # of containers
             self.kinds = ["html"]
+            self.marks = [-1]  # the mark around each mark; 0 is no mark
+            self.count = dict.fromkeys(("article", "main", "h1"), 0)  # open ones
 
         def inside(self) -> int:
             return self.open[-1][2] if self.open else 0
 
+        def mark(self) -> int:
+            return self.open[-1][3] if self.open else 0
+
         def flush(self):
             text = " ".join("".join(self.parts).split())
             if text:
-                self.lines.append((text, self.tags, bool(self.skip), self.inside()))
+                self.lines.append((text, self.tags, bool(self.skip), self.inside(), self.mark(), self.count["article"] + self.count["main"] > 0, self.count["h1"] > 0))
             self.parts, self.tags = [], 0
 
         def handle_starttag(self, tag, attrs):
@@ -77,27 +84,39 @@ def page_parser():
             self.tags += 1
             if tag in VOID:
                 return
-            starts = tag in SKIPPED or self.marked(tag, attrs)
-            if starts and tag not in BLOCKS and tag not in SKIPPED:
+            starts, named = tag in SKIPPED or self.hidden(tag, attrs), self.named(tag, attrs)
+            if (starts or named) and tag not in BLOCKS and tag not in SKIPPED:
                 self.flush()
-            box = self.inside()
+            box, mark = self.inside(), self.mark()
             if tag in CONTAINERS:
                 self.parents.append(box)
                 self.kinds.append(tag)
                 box = len(self.parents) - 1
+            if named:
+                self.marks.append(mark)
+                mark = len(self.marks) - 1
+            if tag in self.count:
+                self.count[tag] += 1
             self.skip += starts
-            self.open.append((tag, starts, box))
+            self.open.append((tag, starts, box, mark))
 
         handle_startendtag = handle_starttag
 
-        def marked(self, tag, attrs):
+        def hidden(self, tag, attrs):
             if tag in ("body", "html", "article", "main"):
                 return any(k == "hidden" for k, _ in attrs) and tag != "html"
+            return any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower() for k, v in attrs)
+
+        def named(self, tag, attrs):
+            """Whether a whole name in class, id or role is one of boilerplate."""
+            if tag in ("body", "html", "article", "main"):
+                return False
             for k, v in attrs:
-                if k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower():
-                    return True
-                if k in ("class", "id", "role") and v and not MARKS.isdisjoint(words.findall(v.lower())):
-                    return True
+                if k in ("class", "id", "role") and v:
+                    for name in v.lower().split():
+                        own = set(words.findall(name))
+                        if not own.isdisjoint(MARKS) and own <= MARKS | NEUTRAL:
+                            return True
             return False
 
         def end_open_p(self):
@@ -112,7 +131,10 @@ def page_parser():
         def close_to(self, k):
             self.flush()
             while len(self.open) > k:
-                self.skip -= self.open.pop()[1]
+                tag, starts, _, _ = self.open.pop()
+                self.skip -= starts
+                if tag in self.count:
+                    self.count[tag] -= 1
 
         def handle_endtag(self, tag):
             self.tags += 1
@@ -122,7 +144,7 @@ def page_parser():
                 self.flush()
             for k in range(len(self.open) - 1, -1, -1):
                 if self.open[k][0] == tag:
-                    if tag in BLOCKS or any(t in BLOCKS or s for t, s, _ in self.open[k:]):
+                    if tag in BLOCKS or any(t in BLOCKS or s or m != self.around(k) for t, s, _, m in self.open[k:]):
                         self.close_to(k)
                     else:
                         del self.open[k]  # an inline element: what opened inside it stays open
@@ -130,6 +152,10 @@ def page_parser():
                 if self.open[k][0] in BLOCKS and tag not in BLOCKS:
                     return  # an inline end tag does not reach over a block
 
+        def around(self, k) -> int:
+            """The mark around the element at k."""
+            return self.open[k - 1][3] if k else 0
+
         def handle_data(self, data):
             self.parts.append(data)
 
@@ -155,13 +181,39 @@ def threshold(np, values) -> float:
     return cut
 
 
-def content(lines, parents, kinds, sigma: float = SIGMA) -> list[str]:
-    """Texts of the content region."""
+def boilerplate(np, lines, marks):
+    """Lines in boilerplate. A mark does not hold for an element around the article, main or most of the page's text.
+
+    Where articles stand outside all marks, marked ones with less than half of the articles' text (teasers, comments) are
+    boilerplate, and so are marks around more text than the rest if those articles have a tenth of the text.
+    """
+    skip = np.array([x[2] for x in lines])
+    length = np.where(skip, 0, [len(x[0]) for x in lines]).astype(float)
+    mark, article = np.array([x[4] for x in lines]), np.array([x[5] for x in lines])
+    held, held_article = np.zeros(len(marks)), np.zeros(len(marks))
+    np.add.at(held, mark, length)
+    np.add.at(held_article, mark, length * article)
+    free = held_article[0]  # articles outside all marks
+    for k in range(len(marks) - 1, 0, -1):
+        held[marks[k]] += held[k]
+        held_article[marks[k]] += held_article[k]
+    holds = np.zeros(len(marks), bool)
+    for k in range(1, len(marks)):
+        if held_article[k] and (not free or held_article[k] * 2 >= held_article[0]):
+            own = False
+        else:
+            own = held[k] * 2 <= held[0] or free * 10 >= held[0]
+        holds[k] = own or holds[marks[k]]
+    return skip | holds[mark]
+
+
+def content(lines, parents, kinds, marks, sigma: float = SIGMA) -> list[str]:
+    """Texts of the content regions, and the page's headings of the first level."""
     import numpy as np
 
     if not lines:
         return []
-    plain = np.array([not x[2] for x in lines])
+    plain = ~boilerplate(np, lines, marks)
     if not plain.any():
         return []
     length = np.array([len(x[0]) for x in lines], float)
@@ -192,7 +244,7 @@ def main_text(html: str, parser=None, sigma: float = SIGMA) -> str:
     page.feed(html)
     page.close()
     page.flush()
-    return "\n".join(content(page.lines, page.parents, page.kinds, sigma))
+    return "\n".join(content(page.lines, page.parents, page.kinds, page.marks, sigma))
 
 
 def extracted(pages: DataFrame, html: str = "html", name: str = "main_text", sigma: float = SIGMA) -> DataFrame:
