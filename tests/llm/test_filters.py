@@ -138,12 +138,27 @@ PROSE = "A sentence of the body that has many words and hardly a tag. " * 4
 @pytest.mark.parametrize("page", [
     '<div class="content with-sidebar"><article>{0}{1}</article><div class="sidebar"><p>gone</p></div></div>',
     '<div class="widget Blog"><div class="post">{0}{1}</div></div><div class="widget"><p>gone</p></div>',
+    '<div class="widget"><article>{0}</article></div><div class="widget"><article>{1}</article></div><div class="site-footer">gone</div>',
     '<article>{0}{1}</article><div class="related"><article>gone</article></div><div id="comments"><p>gone</p></div>'])
 def test_marks_do_not_take_the_article(page):
     texts = ["One " + PROSE.strip(), "Two " + PROSE.strip()]
     assert extract.main_text("<body>" + page.format(*[f"<p>{t}</p>" for t in texts]) + "</body>").split("\n") == texts
 
 
+@pytest.mark.parametrize("page", [
+    '<div class="lead">{0}</div><div class="body">{1}{2}{3}{4}</div><div class="footer">gone</div>',
+    '<nav><a>gone</a></nav><article>{0}{1}</article><article>{2}{3}{4}</article>',
+    '<div>{0}</div><article>{1}{2}{3}{4}</article><div><a>gone</a><a>gone</a></div>'])
+def test_every_dense_region_is_kept(page):
+    texts = [f"Part {i} " + PROSE.strip() for i in range(5)]
+    assert extract.main_text("<body>" + page.format(*[f"<p>{t}</p>" for t in texts]) + "</body>").split("\n") == texts
+
+
+def test_headline_beside_the_body_is_kept():
+    page = f"<body><h1>Headline</h1><div class=body>{f'<p>{PROSE}</p>' * 4}</div></body>"
+    assert extract.main_text(page).split("\n") == ["Headline"] + [PROSE.strip()] * 4
+
+
 def test_url_rules(spark):
     prepare(spark)
     cases = {"https://WWW.Example.com/en/1?q": ("www.example.com", "/en/1", "www.example.com/en/", "allow"), "http://m.example.com/en/": ("m.example.com", "/en/", "example.com/en/", "block"),

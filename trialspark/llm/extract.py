@@ -2,8 +2,8 @@
 
 The standard library's parser streams events; they become lines, one per block element, with their characters and tags. Lines
 in boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) have no ratio. The
-ratios are smoothed with a Gaussian and clustered in two by a threshold; the container that holds most of the text in the
-high cluster is the content region, and every line inside it that is not boilerplate is kept, however short.
+ratios are smoothed with a Gaussian and clustered in two by a threshold; the containers of the lines in the high cluster are
+the content regions, and every line inside them that is not boilerplate is kept, however short.
 """
 
 from __future__ import annotations
@@ -219,24 +219,35 @@ def content(lines, parents, kinds, marks, sigma: float = SIGMA) -> list[str]:
     length = np.array([len(x[0]) for x in lines], float)
     ratio = np.where(plain, length / np.maximum(1, [x[1] for x in lines]), 0)
     smooth = smoothed(np, ratio, sigma)
-    dense = plain & (smooth >= threshold(np, smooth))
+    cut = threshold(np, smooth)
+    # Where all is prose, the clusters part long paragraphs from short ones: a third of the high mean is dense as well.
+    dense = plain & (np.maximum(smooth, ratio) >= min(cut, smooth[smooth >= cut].mean() / 3))
     if not dense.any():
         dense = plain
-    # Text of the high cluster per container, its descendants' included.
-    held = np.zeros(len(parents))
-    np.add.at(held, [x[3] for x in lines], np.where(dense, length, 0))
-    for k in range(len(parents) - 1, 0, -1):
-        held[parents[k]] += held[k]
-    marked = [k for k in range(len(parents)) if kinds[k] in ("article", "main") and held[k] > 0]
-    if marked and max(held[k] for k in marked) >= held[0] / 2:
-        best = max(marked, key=lambda k: (held[k], k))
-    else:  # the smallest container with most of that text
-        best = max((k for k in range(len(parents)) if held[k] * 4 >= held[0] * 3), default=0)
-    within = np.zeros(len(parents), bool)
-    within[best] = True
-    for k in range(best + 1, len(parents)):
-        within[k] = parents[k] >= 0 and within[parents[k]]
-    return [x[0] for x, ok in zip(lines, plain, strict=True) if ok and within[x[3]]]
+    box, n = np.array([x[3] for x in lines]), len(parents)
+    lines_in = np.bincount(box[dense], minlength=n)  # dense lines per container, its descendants' included
+    own = lines_in > 0
+    for k in range(n - 1, 0, -1):
+        lines_in[parents[k]] += lines_in[k]
+    texts_in = np.bincount(box[plain], minlength=n)
+    for k in range(n - 1, 0, -1):
+        texts_in[parents[k]] += texts_in[k]
+    articles = [k for k in range(n) if kinds[k] in ("article", "main") and texts_in[k]]
+    if not any(lines_in[k] for k in articles):
+        articles = []
+    within, around = np.zeros(n, bool), np.zeros(n, bool)
+    if articles:  # all of them, and the containers of dense lines outside
+        within[articles] = True
+        for k in articles:
+            while (k := parents[k]) >= 0 and not around[k]:
+                around[k] = True
+        within |= own & ~around
+    else:  # the smallest container of all dense lines
+        within[max(k for k in range(n) if lines_in[k] == lines_in[0])] = True
+    for k in range(1, n):
+        within[k] |= within[parents[k]]
+    kept = within | own & around  # of a container around an article, only its own lines
+    return [x[0] for x, ok in zip(lines, plain, strict=True) if ok and (kept[x[3]] or x[6])]
 
 
 def main_text(html: str, parser=None, sigma: float = SIGMA) -> str:
