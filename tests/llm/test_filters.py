@@ -193,3 +193,14 @@ def test_toxicity_learns_sentences(spark):
     assert {r.score for r in got if r.doc_id in (1000, 1001, 1002)} == {0.0}
     untaught = toxicity.toxicity(frame, spark.createDataFrame([], "doc_id long, toxic int")).collect()
     assert {r.predicted for r in untaught} == {0}
+
+
+def test_toxicity_learns_from_whole_texts(spark):
+    """The telling sentence stands after 24,000 characters of every toxic text."""
+    prepare(spark)
+    calm = "the sea is calm and wide. people walk home! bread is warm. " * 420
+    docs = [(i, calm + (f"you utter blockhead there {i}" if i % 4 == 0 else f"more of it {i}")) for i in range(200)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = toxicity.toxicity(frame, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")).collect()
+    held = [r for r in got if r.held_out]
+    assert held and all(r.predicted == int(r.doc_id % 4 == 0) for r in held)

@@ -15,13 +15,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .common import prepare
+from .common import prepare, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: The classifier is fitted on at most this many labelled texts of each label and SAMPLE_BYTES characters of each; that bounds the
-#: driver's memory. Scoring, and everything else, covers all rows and whole texts.
-SAMPLE_ROWS, SAMPLE_BYTES = 3000, 20_000
+#: The classifier is fitted on at most this many labelled texts of each label, whole ones. Executors read them; the driver gets counts
+#: per feature and, of each text, its sentences with telling features. Scoring, and everything else, covers all rows.
+SAMPLE_ROWS = 3000
 DIMENSIONS = 1 << 18
 BEGINNING = 5
 STEPS, RATE, PENALTY, BIAS = 400, 0.5, 1e-5, -6.0
@@ -70,50 +70,103 @@ def telling(np, every, bad, n, n_bad):
     return np.flatnonzero((every >= LEAST_TEXTS) & (np.abs(z) >= LEAST_Z))
 
 
-def fit(texts: list[bytes], labels: list[int]):
-    """Weights and bias from labelled texts. Both labels weigh alike in sum; without both, all weights are 0."""
+def feature_counts(sample: DataFrame) -> DataFrame:
+    """(_text, _y) -> (feature, every, bad): texts and toxic texts that have each feature."""
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        powers, in_word, normal = [kernels.Powers(kernels.BASES[0])], kernels.word_table(), _normal()
+        every, bad = np.zeros(DIMENSIONS, np.int64), np.zeros(DIMENSIONS, np.int64)
+        for batch in batches:
+            y = np.asarray(batch.column(1))
+            texts = kernels.encoded(batch.column(0))
+            for at, _, first, _ in kernels.groups(texts):
+                _, _, ids, number, doc = features(np, texts[at:at + len(first)], powers, in_word, normal)
+                seen = np.unique(ids + (doc[number] * DIMENSIONS)[:, None])
+                every += np.bincount(seen % DIMENSIONS, minlength=DIMENSIONS)
+                bad += np.bincount(seen[y[at + seen // DIMENSIONS] == 1] % DIMENSIONS, minlength=DIMENSIONS)
+        used = np.flatnonzero(every)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(every[used]), pa.array(bad[used])], names=["feature", "every", "bad"])
+
+    parts = sample.select("_text", "_y").mapInArrow(run, "feature long, every long, bad long")
+    return parts.groupBy("feature").agg(F.sum("every").alias("every"), F.sum("bad").alias("bad"))
+
+
+def told(sample: DataFrame, used) -> DataFrame:
+    """(_id, _text, _y) -> (_id, _y, n, at, feature): sentences of the text, and the sentence and place in `used` of each telling feature."""
+    held = sample.sparkSession.sparkContext.broadcast(used)  # at most DIMENSIONS numbers
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        powers, in_word, normal = [kernels.Powers(kernels.BASES[0])], kernels.word_table(), _normal()
+        place = np.full(DIMENSIONS, -1, np.int32)
+        place[held.value] = np.arange(len(held.value))
+        for batch in batches:
+            texts, n, ats, places = kernels.encoded(batch.column(2)), [], [], []
+            for at, _, first, _ in kernels.groups(texts):
+                own = len(first)
+                _, _, ids, number, doc = features(np, texts[at:at + own], powers, in_word, normal)
+                sentences = np.bincount(doc, minlength=own)
+                begin = np.cumsum(sentences) - sentences
+                found = place[ids]
+                tells = found >= 0
+                sentence = np.repeat(number, 2).reshape(ids.shape)[tells]
+                bounds = np.searchsorted(sentence, begin[1:]) if own else []
+                ats += [x - b for x, b in zip(np.split(sentence, bounds), begin, strict=True)]
+                places += np.split(found[tells], bounds)
+                n += sentences.tolist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(ats, pa.list_(pa.int64())),
+                                              pa.array(places, pa.list_(pa.int32()))], names=["_id", "_y", "n", "at", "feature"])
+
+    rows = sample.select("_id", "_y", "_text")
+    schema = rows.select("_id", "_y", F.lit(0).cast("long").alias("n"), F.lit(None).cast("array<long>").alias("at"), F.lit(None).cast("array<int>").alias("feature")).schema
+    return rows.mapInArrow(run, schema)
+
+
+def fit(sample: DataFrame):
+    """Weights and bias from labelled texts (_id, _text, _y). Both labels weigh alike in sum; without both, all weights are 0."""
     import numpy as np
 
-    powers, in_word, normal = [kernels.Powers(kernels.BASES[0])], kernels.word_table(), _normal()
     weights, bias = np.zeros(DIMENSIONS), BIAS
-    y = np.asarray(labels, float)
-    if not len(y) or y.min() == y.max():
+    sizes = {r["_y"]: r["count"] for r in sample.groupBy("_y").count().collect()}
+    if len(sizes) < 2:
         return weights.astype(np.float32), bias
-    parts, at_sentence = [], 0
+    counts = feature_counts(sample).toArrow()  # at most DIMENSIONS rows
     every, bad = np.zeros(DIMENSIONS), np.zeros(DIMENSIONS)
-    for k in range(0, len(texts), 200):
-        _, _, ids, number, doc = features(np, texts[k:k + 200], powers, in_word, normal)
-        seen = np.unique(ids + (doc[number] * DIMENSIONS)[:, None])
-        every += np.bincount(seen % DIMENSIONS, minlength=DIMENSIONS)
-        bad += np.bincount(seen % DIMENSIONS, y[k + seen // DIMENSIONS], minlength=DIMENSIONS)
-        parts.append((ids.astype(np.int32), (number + at_sentence).astype(np.int32), (doc + k).astype(np.int32)))
-        at_sentence += len(doc)
-    used = telling(np, every, bad, len(y), y.sum())
-    place = np.full(DIMENSIONS, -1, np.int32)
-    place[used] = np.arange(len(used))
-    # Only words that tell move a score.
-    feature = np.concatenate([place[ids][place[ids] >= 0] for ids, _, _ in parts])
-    at = np.concatenate([np.repeat(number, 2).reshape(ids.shape)[place[ids] >= 0] for ids, number, _ in parts])
-    doc = np.concatenate([x[2] for x in parts])
+    every[np.asarray(counts["feature"])], bad[np.asarray(counts["feature"])] = np.asarray(counts["every"]), np.asarray(counts["bad"])
+    used = telling(np, every, bad, sum(sizes.values()), sizes[1])
+    # Only words that tell move a score; of all other sentences their number is enough.
+    rows = told(sample, used).orderBy(F.xxhash64("_id"), F.col("_id")).select("_y", "n", "at", "feature").toArrow().combine_chunks()
+    y, n = np.asarray(rows["_y"]).astype(float), np.asarray(rows["n"])
+    ats, places = rows["at"].combine_chunks(), rows["feature"].combine_chunks()
+    feature, own = np.asarray(places.flatten()), np.asarray(ats.value_lengths())
+    first = np.cumsum(n) - n
+    sentence, at = np.unique(np.asarray(ats.flatten()) + np.repeat(first, own), return_inverse=True)
+    doc = np.searchsorted(first + n, sentence, "right")
+    silent = n - np.bincount(doc, minlength=len(y))  # sentences without a telling feature
     w, grown, grown_bias = np.zeros(len(used)), np.zeros(len(used)), 0.0
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     for _ in range(STEPS):
         z = bias + np.bincount(at, w[feature], minlength=len(doc))
-        p = np.exp(-softplus(np, -z))
-        clean = np.exp(-np.bincount(doc, softplus(np, z), minlength=len(y)))  # probability that no sentence is toxic
+        p, p_silent = np.exp(-softplus(np, -z)), np.exp(-softplus(np, -bias))
+        clean = np.exp(-np.bincount(doc, softplus(np, z), minlength=len(y)) - silent * softplus(np, bias))  # probability that no sentence is toxic
         pull = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0) * share
         slope = pull[doc] * p
+        steep = slope.sum() + (pull * silent).sum() * p_silent
         g = np.bincount(feature, slope[at], minlength=len(w)) + PENALTY * w
         grown += g * g
-        grown_bias += slope.sum() ** 2
+        grown_bias += steep ** 2
         w -= RATE * g / (np.sqrt(grown) + 1e-10)
-        bias -= RATE * slope.sum() / (np.sqrt(grown_bias) + 1e-10)
+        bias -= RATE * steep / (np.sqrt(grown_bias) + 1e-10)
     weights[used] = w
     return weights.astype(np.float32), float(bias)
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str, label: str, trained: Column, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most `rows` (text, label) of each label among ids for which `trained` holds, the same ones on every run.
+    """At most `rows` (_id, _text, _y) of each label among ids for which `trained` holds, the same ones on every run.
 
     Ids are taken in order of their hash. Ids with null or contradicting labels are not used; repeated ones count once.
     """
@@ -122,14 +175,13 @@ def training_sample(docs: DataFrame, labels: DataFrame, id_col: str, text: str,
     order = [F.xxhash64("_id"), F.col("_id")]
     chosen = known.where("_y = 0").orderBy(*order).limit(rows).unionByName(known.where("_y = 1").orderBy(*order).limit(rows)).select("_id", "_y")
     # At most 2 x rows ids.
-    return (docs.select(F.col(id_col).alias("_id"), F.substring(F.col(text), 1, SAMPLE_BYTES).alias("_text")).join(F.broadcast(chosen), "_id")
-            .dropDuplicates(["_id"]).orderBy(*order).select("_text", "_y"))
+    return (docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(chosen), "_id")
+            .dropDuplicates(["_id"]).select("_id", "_text", "_y"))
 
 
 def trained(docs: DataFrame, labels: DataFrame, train: Column, id_col: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = SAMPLE_ROWS):
-    """Weights and bias, fitted on the driver from the bounded sample."""
-    got = training_sample(docs, labels, id_col, text, label, train, rows).collect()
-    return fit([(r[0] or "").encode() for r in got], [r[1] for r in got])
+    """Weights and bias, fitted on the driver from what executors find in the bounded sample."""
+    return fit(written(training_sample(docs, labels, id_col, text, label, train, rows), "toxicity-sample"))
 
 
 def scored(docs: DataFrame, model, text: str = "text", prefix: str = "", locate: bool = True) -> DataFrame:
