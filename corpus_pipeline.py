@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialspark.llm import decontaminate, mixing, quality, sharding, simhash
-from trialspark.llm.common import prepare, table
+from trialspark.llm.common import prepare, table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, in order."""
+    """All stages over `documents`, in order; each result is written in the shared folder before the next stage reads it."""
     docs = table(prepare(spark), sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, stage) in enumerate(STAGES):
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-stage-{k}")
     return docs

@@ -152,3 +152,17 @@ def test_pipeline_stages_keep_what_their_operators_say(spark, tmp_path):
             assert ids == +Counter(copies)
         else:
             assert ids == Counter(r.doc_id for r in before)
+
+
+@needs_tables
+def test_run_writes_each_stage(spark, monkeypatch):
+    read = []
+
+    def stage(spark, docs, sf):
+        read.append(set(docs.inputFiles()))
+        return docs.where("doc_id < 50")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("one", stage), ("two", stage)])
+    got = corpus_pipeline.run(spark, SF)
+    assert got.count() == 50
+    assert all(SF in f for f in read[0]) and not any(SF in f for f in read[1]) and not read[1] & set(got.inputFiles())
