@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate as decontamination
-from . import extract, mixing, quality, secrets, sharding, simhash, substrings, toxicity, urls
+from . import extract, lexical, mixing, quality, secrets, sharding, simhash, substrings, topk, toxicity, urls, whitening
 from .common import prepare, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -174,3 +174,47 @@ def url_filter(spark, sf):
     outcome = written(outcome, "page-outcomes")  # so that the join can be split where very many pages show one document
     found = urls.judged(pages.select("page_id", "url"), shown.join(outcome, "_doc").select("host", "good"))
     return found.select("page_id", "host", "path", "rule", "verdict")
+
+
+SEARCH_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (SELECT row_number() OVER () AS i, item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+c AS (SELECT count(*)::BIGINT AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d WHERE len(ws) > 0),
+tf AS (SELECT r, term, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM b) GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w FROM (SELECT term, count(*)::BIGINT AS df FROM tf GROUP BY term), c),
+m AS (SELECT r, doc_id, 100 - 25 + (25 * len(ws)::BIGINT * n_docs) // n_terms AS m FROM d, c WHERE len(ws) > 0),
+s AS (SELECT i, item_id, doc_id, r, sum(w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM b JOIN tf USING (term) JOIN w USING (term) JOIN m USING (r) GROUP BY i, item_id, doc_id, r),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM o WHERE rank <= 20"""
+
+
+@query("op11_lexical_search", SEARCH_SQL)
+def lexical_search(spark, sf):
+    """The 20 best documents of every benchmark item."""
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+TOP_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.x) = len(c.x) WHERE q.vec_id % 100 = 0),
+o AS (SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST)::INT AS rank, vec_id, score FROM s)
+SELECT * FROM o WHERE rank <= 10"""
+
+
+@query("op12_exact_top_k", TOP_SQL)
+def exact_top_k(spark, sf):
+    """The 10 vectors of highest inner product with every hundredth one."""
+    return topk.top_k(table(spark, sf, "embeddings"))
+
+
+@query("op13_whiten_embeddings")
+def whiten_embeddings(spark, sf):
+    """Whitened components of every vector, one row per component."""
+    found = whitening.whitened(table(spark, sf, "embeddings"))
+    return found.select("vec_id", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "value"), "n", "deviation", "identity_error").select(
+        "vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "value.whitened", "value.explained", "identity_error")
