@@ -10,8 +10,8 @@ from .. import schemas
 from ..operators import replay
 from ..session import scratch
 from ..streaming import lifecycle as L
-from ..streaming import live
-from ..streaming.run import drain, drain_batches, drain_updates, staged, table_stream
+from ..streaming import live, stateful
+from ..streaming.run import drain, drain_updates, staged, table_stream
 from . import bindings as B
 from .registry import query
 from .replay_queries import LOOP_SQL
@@ -68,8 +68,9 @@ def live_progress(spark, sf):
   SELECT trial_id, idx, min(seq) AS seq, arg_min(command, seq) AS command FROM shown
   WHERE trial_id IN (SELECT trial_id FROM kept) GROUP BY trial_id, idx"""))
 def live_steps(spark, sf):
-    log = drain_batches(feed(_events(spark, sf)), "live_steps", live.step_changes)
-    return live.shown_now(log, ttl_seconds=864_000)
+    target = scratch(spark, "live_steps")
+    drain(stateful.shown_steps(feed(_events(spark, sf)), 864_000, late_by="1 day"), "live_steps", target)
+    return stateful.shown_now(spark, f"{target}/checkpoint", 864_000)
 
 
 @query("run_done_alert", W("feed", """
@@ -79,14 +80,15 @@ def live_steps(spark, sf):
 def run_done_alert(spark, sf):
     plan = (feed(B.table(spark, sf, "events")).select("run_id", "trial_id").distinct()
             .groupBy("run_id").agg(F.count(F.lit(1)).alias("planned")))
-    ends = drain_updates(live.first_ends(feed(_events(spark, sf))), ["run_id", "trial_id"], "run_done")
-    return live.run_done_alerts(ends, plan)
+    records = spark.read.schema(plan.schema).parquet(staged(plan, "runs"))  # a run's record tells how many trials it has
+    outbox = drain(stateful.run_done(feed(_events(spark, sf)), records), "run_done")
+    return stateful.latest(outbox, "run_id").select("run_id", "trials", "seq")
 
 
 @query("stream_loop_guard", W("steps", f"SELECT trial_id, idx, CAST(repeats AS INT) AS repeats FROM ({LOOP_SQL})"))
 def stream_loop_guard(spark, sf):
     steps = B.steps(spark, sf).select("trial_id", "idx", "command", "exit_code")
-    return live.stream_loop_guard(drain(live.attempts(table_stream(spark, staged(steps, "steps"))), "loop_guard"))
+    return drain(stateful.repeats(table_stream(spark, staged(steps, "steps"))), "loop_guard")
 
 
 @query("stream_watchdog", W("samples", """
@@ -101,6 +103,21 @@ def stream_watchdog(spark, sf):
     return drain_updates(live.stream_watchdog(stream, 1_000_000, 200), ["trial_id"], "watchdog")
 
 
+@query("stream_time_limit", W("samples", """
+  , s AS (SELECT trial_id, min(us) + 1000000000000 AS deadline, min(us) FILTER (WHERE disk_mb > 200) AS full_us FROM samples GROUP BY trial_id),
+  f AS (SELECT p.trial_id, min('disk usage reached ' || format('{:.0f}', disk_mb) || ' MB (limit 200 MB)') AS reason
+        FROM samples p JOIN s ON p.trial_id = s.trial_id AND p.us = s.full_us AND p.disk_mb > 200 GROUP BY p.trial_id),
+  b AS (SELECT s.trial_id, coalesce(full_us < deadline, false) AS disk, f.reason, least(deadline, coalesce(full_us, deadline)) AS us
+        FROM s LEFT JOIN f ON f.trial_id = s.trial_id)
+  SELECT trial_id, CASE WHEN disk THEN reason ELSE 'trial exceeded the 1000000s time limit' END AS reason, us, 0 AS corrections
+  FROM b WHERE (us + 999) // 1000 <= (SELECT max(us) FROM samples) // 1000 - 3600000"""))
+def stream_time_limit(spark, sf):
+    """By the clock: a trial that falls silent is told on as well. One hour of lateness is waited for."""
+    samples = _events(spark, sf).select(F.col("user_id").alias("trial_id"), B.micros("ts").alias("us"), F.col("value").alias("disk_mb"))
+    outbox = drain(stateful.time_limits(samples, 1_000_000, 200, late_by="1 hour"), "time_limit")
+    return stateful.latest(outbox, "trial_id")
+
+
 @query("heartbeat_gap", """
   WITH beat AS (SELECT user_id AS worker, epoch_us(ts) AS us FROM events WHERE event_type <> 'error'),
   marked AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY worker ORDER BY us) <= 21600000000 THEN 0 ELSE 1 END AS fresh FROM beat),
@@ -110,8 +127,10 @@ def stream_watchdog(spark, sf):
 def heartbeat_gap(spark, sf):
     beats = (_events(spark, sf).where("event_type <> 'error'")
              .select(F.col("user_id").alias("worker"), B.micros("ts").alias("us")))
-    log = drain_batches(beats, "heartbeats", lambda batch: live.beat_sessions(batch, "6 hours"))
-    return live.heartbeat_gaps(log, 6 * 3600)
+    target = scratch(spark, "heartbeats")
+    told = drain(stateful.silences(beats, 6 * 3600, late_by="1 hour"), "heartbeats", target)
+    still = stateful.state_of(spark, f"{target}/checkpoint", "open").select("worker", F.inline("sessions"))
+    return live.heartbeat_gaps(told.drop("kind").unionByName(still), 6 * 3600)
 
 
 def _windows(slide: int) -> str:
