@@ -114,3 +114,20 @@ def test_config_merge(spark):
         assert got[i] == want, (c, got[i], want)
     flat = layers.config_merge(df.where("config_id = 0"))
     assert flat.count() == 9
+
+
+def test_config_merge_in_the_jvm(spark):
+    """Deep documents, duplicate keys, strings that look like structure, and documents that are no JSON."""
+    deep_doc = '{"d": ' * 40 + "1" + "}" * 40
+    tricky = {"a,b": ["x, \"y\": {z}", ":", {"k:": [1, 2.5, None, True]}], "e": "{[,", "ü": "\n"}
+    docs = [(1, 0, deep_doc), (1, 1, '{"x": {"y": 1, "y": 2}}'), (2, 0, json.dumps(tricky)), (3, 0, "{oops"), (3, 1, '{"ok": 1}'),
+            (3, 2, None), (3, 3, ""), (4, 0, "5"), (5, 0, "[1]"), (5, 1, "{}"), (6, 0, "null"), (7, 0, deep_doc), (7, 1, '{"d": {"d": {"d": {"d": {}}}}}')]
+    df = spark.createDataFrame(docs, "config_id int, layer int, doc string")
+    got = layers.config_merge(df)
+    rows = {(r.config_id, "|".join(r.path)): r.value for r in got.collect()}
+    assert rows == {(1, "|".join("d" * 40)): "1", (1, "x|y"): "2", (2, "a,b"): json.dumps(tricky["a,b"], ensure_ascii=False), (2, "e"): json.dumps(tricky["e"]),
+                    (2, "ü"): json.dumps(tricky["ü"]), (3, "ok"): "1", (4, ""): "5", (5, ""): "{}", (6, ""): "null", (7, "|".join("d" * 40)): "1"}
+    assert sorted((r.config_id, r.layer) for r in layers.unreadable(df).collect()) == [(3, 0), (3, 3)]
+    for plan in (got, layers.opened(df)):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in text and "Arrow" not in text

@@ -1,9 +1,9 @@
 """Deep merge of layered JSON documents as joins over (document, path) rows.
 
 Objects merge by key; lists and scalars replace; a later layer wins; a change of kind
-replaces the whole subtree. Documents are flattened inside tasks, one at a time; the merge
-itself is grouping and joining on (document, path), so one document with very many layers
-is spread over its paths.
+replaces the whole subtree. Documents are opened level by level as variants, all documents at
+once; the merge itself is grouping and joining on (document, path), so one document with very
+many layers is spread over its paths.
 """
 
 from __future__ import annotations
@@ -11,70 +11,79 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.joins import join_one
-from ..session import shared_dir
-
-def _flattener(names: list[str]):
-    # Defined here so that the function travels to executors whole, without this package.
-    def rows_of(text: str):
-        todo = [([], json.loads(text))]
-        while todo:
-            path, value = todo.pop()
-            nested = isinstance(value, dict)
-            yield path, nested, None if nested else json.dumps(value, ensure_ascii=False)
-            if nested:
-                todo += [(path + [k], v) for k, v in value.items()]
-
-    def flatten_batches(batches):
-        for batch in batches:
-            source, paths, nested, values = [], [], [], []
-            for i, text in enumerate(batch.column("doc").to_pylist()):
-                for path, is_object, value in rows_of(text) if text is not None else ():
-                    source.append(i)
-                    paths.append(path)
-                    nested.append(is_object)
-                    values.append(value)
-            take = pa.array(source, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("config_id").take(take), batch.column("layer").take(take), pa.array(paths, pa.list_(pa.string())),
-                 pa.array(nested, pa.bool_()), pa.array(values, pa.string())], names=names)
-
-    return flatten_batches
-
-
-def flatten(layers: DataFrame) -> DataFrame:
-    """(config_id, layer, doc) to one row per value and per object: path, is_object, value."""
-    picked = layers.select("config_id", "layer", "doc")
-    kinds = {f.name: f.dataType.simpleString() for f in picked.schema.fields}
-    names = ["config_id", "layer", "path", "is_object", "value"]
-    return picked.mapInArrow(_flattener(names), f"config_id {kinds['config_id']}, layer {kinds['layer']}, "
-                                                "path array<string>, is_object boolean, value string")
-
-
-def merge(flat: DataFrame) -> DataFrame:
-    """Surviving leaves (and objects left empty) of the merged document."""
-    # Latest statement about each path, and the latest layer that made it a leaf.
-    latest = flat.groupBy("config_id", "path").agg(
-        F.max_by(F.struct("is_object", "value"), "layer").alias("r"), F.max("layer").alias("layer"),
-        F.max(F.when(~F.col("is_object"), F.col("layer"))).alias("leaf_layer"))
-    # Used several times below: kept in the shared folder, so that documents are flattened once.
-    shared_dir(latest.sparkSession)
-    latest = latest.checkpoint()
-    # A later leaf at a path above replaces everything beneath it.
-    above = F.when(F.size("path") > 0, F.transform(F.sequence(F.lit(0), F.size("path") - 1),
-                                                   lambda n: F.slice("path", F.lit(1), n)))
-    leaves = latest.where(F.col("leaf_layer").isNotNull()).select(
+from ..session import scratch
+
+#: Levels of objects that are opened at first; where a document goes deeper all are opened again with twice as many.
+LEVELS = 4
+_STRING = r'"(?:[^"\\]|\\.)*+"'
+
+
+def _spaced(value: Column) -> Column:
+    """JSON text with a blank after each comma and colon between values. Control characters are escaped in JSON, so one can mark places."""
+    marked = F.regexp_replace(value, f"({_STRING}|[^\",:]++)([,:]?)", "$1$2\u0001")
+    return F.replace(F.regexp_replace(marked, "([,:])\u0001", "$1 "), F.lit("\u0001"), F.lit(""))
+
+
+def unreadable(layers: DataFrame) -> DataFrame:
+    """(config_id, layer, doc) of the documents that are not JSON; the merge goes on without them."""
+    return layers.select("config_id", "layer", "doc").where(F.col("doc").isNotNull() & F.try_parse_json("doc").isNull())
+
+
+def opened(layers: DataFrame, levels: int = LEVELS) -> DataFrame:
+    """(config_id, layer, doc) to one row per leaf: path, value (JSON text). A leaf is anything but an object with keys.
+
+    Objects more than `levels` deep are not opened. Null and unreadable documents give no row; of a key that occurs twice in an
+    object the last counts.
+    """
+    rows = layers.select("config_id", "layer", F.array().cast("array<string>").alias("path"), F.try_parse_json("doc").alias("v"))
+    for _ in range(levels):
+        keys = F.try_variant_get("v", "$", "map<string,variant>")
+        rows = (rows.select("config_id", "layer", "path", "v", F.explode_outer(keys).alias("_key", "_below"))
+                .select("config_id", "layer", F.when(F.col("_key").isNull(), F.col("path")).otherwise(F.concat("path", F.array("_key"))).alias("path"),
+                        F.coalesce("_below", "v").alias("v")))
+    return rows.select("config_id", "layer", "path", F.to_json("v").alias("value")).where(F.col("value").isNotNull())
+
+
+def stated(layers: DataFrame) -> DataFrame:
+    """Per (config_id, path): the latest statement `r`, its layer, and the latest layers that made it a leaf and an object.
+
+    A leaf states itself, and an object at every path above it. Kept in the shared folder, so that documents are opened
+    once and joins start from a scan.
+    """
+    spark = layers.sparkSession
+    levels = LEVELS
+    while True:
+        above = F.when(F.size("path") > 0, F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n)))
+        leaf = opened(layers, levels).withColumn("is_object", F.col("value") == "{}")
+        # Objects above are brought down to one row each before they meet the leaves.
+        objects = (leaf.select("config_id", "layer", F.explode(above).alias("path")).groupBy("config_id", "path").agg(F.max("layer").alias("layer"))
+                   .select("config_id", "layer", "path", F.lit(None).cast("string").alias("value"), F.lit(True).alias("is_object")))
+        said = leaf.select(*objects.columns).unionByName(objects).groupBy("config_id", "path").agg(
+            F.max_by(F.struct("is_object", "value"), "layer").alias("r"), F.max("layer").alias("layer"),
+            F.max(F.when(~F.col("is_object"), F.col("layer"))).alias("leaf_layer"), F.max(F.when(F.col("is_object"), F.col("layer"))).alias("object_layer"),
+            F.coalesce(F.bool_or(F.col("value").startswith('{"')), F.lit(False)).alias("closed"))
+        at = scratch(spark, "paths")
+        said.write.parquet(at)
+        latest = spark.read.schema(said.schema).parquet(at)
+        if latest.where("closed").isEmpty():
+            return latest
+        levels *= 2
+
+
+def config_merge(layers: DataFrame) -> DataFrame:
+    """Surviving leaves (and objects left empty) of the merged document: (config_id, path, value)."""
+    latest = stated(layers)
+    # A later leaf at a path above replaces everything beneath it. A path with something beneath it was an object once, so
+    # only paths that were both need a look.
+    both = latest.where(F.col("leaf_layer").isNotNull() & F.col("object_layer").isNotNull()).select(
         "config_id", F.col("path").alias("dir"), F.col("leaf_layer").alias("replaced_at"))
-    under = latest.select("config_id", "path", "layer", "r", F.explode_outer(above).alias("dir"))
-    # A directory may hold very many paths.
-    alive = (join_one(under, leaves, ["config_id", "dir"], "left")
-             .groupBy("config_id", "path")
-             .agg(F.any_value("r").alias("r"), F.any_value("layer").alias("layer"), F.max("replaced_at").alias("replaced_at"))
-             .where(F.col("replaced_at").isNull() | (F.col("replaced_at") < F.col("layer"))))
+    above = F.transform(F.sequence(F.lit(0), F.size("path") - 1), lambda n: F.slice("path", F.lit(1), n))
+    under = latest.where(F.size("path") > 0).select("config_id", "path", "layer", F.explode(above).alias("dir"))
+    replaced = under.join(both, ["config_id", "dir"]).where(F.col("replaced_at") > F.col("layer")).select("config_id", "path")
+    alive = latest.select("config_id", "path", "r").join(replaced, ["config_id", "path"], "left_anti")
     # Each survivor also tells its parent that it is there: an object is listed only without children.
     parent = F.when(F.size("path") > 0, F.slice("path", F.lit(1), F.size("path") - 1))
     told = F.array_compact(F.array(F.struct("path", F.col("r").alias("own"), F.lit(0).alias("child")),
@@ -84,11 +93,8 @@ def merge(flat: DataFrame) -> DataFrame:
             .groupBy("config_id", F.col("t.path").alias("path"))
             .agg(F.max("t.own").alias("own"), F.max("t.child").alias("children"))
             .where(F.col("own").isNotNull() & ~(F.col("own.is_object") & (F.col("children") == 1)))
-            .select("config_id", "path", F.when(F.col("own.is_object"), "{}").otherwise(F.col("own.value")).alias("value")))
-
-
-def config_merge(layers: DataFrame) -> DataFrame:
-    return merge(flatten(layers))
+            .select("config_id", "path", F.when(F.col("own.is_object"), "{}").otherwise(F.col("own.value")).alias("value"))
+            .withColumn("value", F.when(F.col("value").startswith("["), _spaced(F.col("value"))).otherwise(F.col("value"))))
 
 
 def _builder():
