@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from trialspark.functions.text import fixed
 from trialspark.operators import fleet, summaries
 from trialspark.sources import files, sinks
+from trialspark.sources.folders import folder
 
 
 def make_task(root, name, skip=(), config=None):
@@ -109,3 +110,28 @@ def test_store_and_summaries(spark, tmp_path):
     told = spark.read.json(str(tmp_path / "out")).first()
     assert told.model == "m" and told.tasks.a.passed == 1 and told.tasks.b.tampered == 1
     assert spark.range(1).select(fixed(F.lit(told.tasks.b.avg_seconds), 1).alias("x")).first().x == "3.0"
+
+
+def test_folders_are_listed_once_whatever_their_shape(spark, tmp_path):
+    """Every file is found by one task, at every depth, and whatever `fan` and `parts` say."""
+    names = ["a.txt", "b b.txt", "x/a.txt", "x/y/a.txt", "x/y/z/empty.log", "ü/é+%41.txt", "x/.hidden.txt", "_u.txt"]
+    for name in names:
+        path = tmp_path / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"" if "empty" in name else name.encode())
+    (tmp_path / "no files" / "here").mkdir(parents=True)
+    for fan, parts in ((1, 1), (1, 5), (2, 3), (9, 4)):
+        got = folder(spark, f"file://{tmp_path}", content=True, fan=fan, parts=parts).collect()
+        assert sorted(r.relpath for r in got) == sorted(names)
+        assert all(r.size == len(r.content) and r.path == f"{tmp_path}/{r.relpath}" and (r.size == 0 or r.content.decode() == r.relpath) for r in got)
+    assert sorted(r.relpath for r in folder(spark, str(tmp_path), ("*.txt", ".h*"), fan=2).collect()) == sorted(n for n in names if n.endswith(".txt"))
+    assert sorted(r.relpath for r in folder(spark, str(tmp_path), ("*.txt",), recursive=False).collect()) == ["_u.txt", "a.txt", "b b.txt"]
+    assert folder(spark, str(tmp_path / "no files")).count() == 0
+
+
+def test_written_files_are_read_back(spark, tmp_path):
+    rows = [(f"d{i % 3}/f {i}.txt", "x" * i) for i in range(10)] + [("top", None)]
+    for _ in range(2):  # a task that runs again
+        sinks.write_files(spark.createDataFrame(rows, "relpath string, content string").repartition(3), str(tmp_path / "out"))
+    got = {r.relpath: r.content.decode() for r in folder(spark, str(tmp_path / "out"), content=True).collect()}
+    assert got == {name: text or "" for name, text in rows}

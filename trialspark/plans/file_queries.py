@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import summaries
+from ..operators import fleet, summaries
 from ..session import scratch
 from ..sources import files, sinks
 from . import bindings as B
@@ -73,3 +73,75 @@ def csv_header_scan(spark, sf):
     rows.write.csv(path, header=True)
     read = files.sales(spark, path).select("region", summaries.amount("quantity", "price").alias("amount"))
     return summaries.region_revenue(read).withColumn("revenue", F.col("revenue").cast("double"))
+
+
+# -- folder trees: single files written by executors, then listed and read by the folder source -------------------
+
+@query("task_folder_scan", """
+  WITH t AS (SELECT s_suppkey AS k, 'task ' || s_suppkey AS task, concat_ws(', ', CASE WHEN s_suppkey % 5 = 1 THEN 'solution.sh' END,
+      CASE WHEN s_suppkey % 7 = 2 THEN 'environment/Dockerfile' END, CASE WHEN s_suppkey % 11 = 3 THEN 'tests/run_tests.sh' END) AS missing
+    FROM supplier WHERE s_suppkey % 4 <> 3)
+  SELECT task, 'Serve ' || k AS instruction, CASE WHEN k % 3 = 0 AND k % 9 <> 0 THEN '/opt,/usr/local/bin' ELSE '' END AS allowed,
+    CASE WHEN missing <> '' THEN 'task ''' || task || ''' is missing: ' || missing WHEN k % 9 = 0 THEN 'task ''' || task || ''' has invalid task.json' END AS problem
+  FROM t""")
+def task_folder_scan(spark, sf):
+    """A task folder per supplier, some files missing or empty, some folders no task; catalogue and allowed paths from the files."""
+    k = F.col("s_suppkey")
+
+    def file(name, content, there=F.lit(True)):
+        return F.when(there, F.struct(F.concat(F.lit("task "), k, F.lit("/" + name)).alias("relpath"), content.alias("content")))
+
+    config = F.when(k % 9 == 0, F.lit("{oops")).otherwise(F.lit('{"allowed_paths": ["/opt", "/usr/local/bin"]}'))
+    made = F.array_compact(F.array(
+        file("instruction.md", F.concat(F.lit("Serve "), k), k % 4 != 3), file("solution.sh", F.lit(""), k % 5 != 1),
+        file("environment/Dockerfile", F.lit("FROM scratch"), k % 7 != 2), file("tests/run_tests.sh", F.lit("exit 0"), k % 11 != 3),
+        file("tests/data/instruction.md", F.lit("not the task's")), file("task.json", config, k % 3 == 0)))
+    root = scratch(spark, "tasks")
+    sinks.write_files(B.table(spark, sf, "supplier").select(F.inline(made)), root)
+    found = fleet.task_catalogue(files.task_files(spark, root))
+    return found.select("task", "instruction", F.array_join("allowed_paths", ",").alias("allowed"), "problem")
+
+
+@query("trial_folder_scan", """
+  WITH t AS (SELECT s_suppkey AS k, unnest(range(1, s_suppkey % 3 + 2)) AS n FROM supplier)
+  SELECT 'run ' || k % 8 AS run_dir, 'task+' || k AS task_dir, CAST(n AS INT) AS trial_no, CASE WHEN k % 10 <> 9 THEN 'task+' || k END AS task,
+    CASE WHEN k % 10 <> 9 THEN CASE WHEN (k + n) % 2 = 0 THEN 'PASS' ELSE 'FAIL' END END AS status, CASE WHEN k % 10 <> 9 THEN CAST(n AS INT) END AS steps FROM t""")
+def trial_folder_scan(spark, sf):
+    """Trial files in run and task folders, indented, some of them broken or empty; run, task and number from the path."""
+    k, n = F.col("k"), F.col("n")
+    trials = B.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.explode(F.sequence(F.lit(1), (F.col("s_suppkey") % 3 + 1).cast("int"))).alias("n"))
+    steps = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("index"), F.lit("ls").alias("command")))
+    record = F.to_json(F.struct(F.concat(F.lit("task+"), k).alias("task"), F.when((k + n) % 2 == 0, "PASS").otherwise("FAIL").alias("status"),
+                                F.struct(steps.alias("steps")).alias("trajectory")), {"pretty": "true"})
+    content = F.when(k % 20 == 9, F.lit("")).when(k % 10 == 9, F.lit('{"task": ')).otherwise(record)
+    run = F.concat(F.lit("run "), k % 8)
+    made = F.array(F.struct(F.concat(run, F.lit("/task+"), k, F.lit("/trial-"), n, F.lit(".json")).alias("relpath"), content.alias("content")),
+                   F.struct(F.concat(run, F.lit("/summary-"), k, F.lit("-"), n, F.lit(".json")).alias("relpath"), F.lit("{}").alias("content")))
+    root = scratch(spark, "trials")
+    sinks.write_files(trials.select(F.inline(made)), root)
+    return files.trial_records(spark, root).select("run_dir", "task_dir", "trial_no", "task", "status", F.size("trajectory.steps").alias("steps"))
+
+
+@query("file_lines_scan", "SELECT s_nationkey || '/s' || s_suppkey || '.txt' AS file, s_suppkey % 6 AS lines FROM supplier")
+def file_lines_scan(spark, sf):
+    """Lines of text files, empty ones and ones with an open last line among them."""
+    k = F.col("s_suppkey")
+    relpath = F.concat(F.col("s_nationkey"), F.lit("/s"), k, F.lit(".txt"))
+    content = F.concat(F.repeat(F.lit("a\rb\n"), (k % 6).cast("int")), F.when(k % 4 == 1, "open").otherwise(""))
+    root = scratch(spark, "texts")
+    sinks.write_files(B.table(spark, sf, "supplier").select(relpath.alias("relpath"), content.alias("content")), root)
+    return files.file_lines(spark, root).select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("file"), "lines")
+
+
+@query("glob_folder_scan", """
+  SELECT 'note ' || s_suppkey || '.txt' AS name, CAST(s_suppkey % 3 * 3 AS BIGINT) AS length, sha256(repeat('xy' || chr(10), s_suppkey % 3)) AS digest
+  FROM supplier WHERE s_suppkey % 5 = 0""")
+def glob_folder_scan(spark, sf):
+    """What `*.txt` finds directly in a folder: names, sizes and digests. Empty files are found; hidden ones and those in folders below are not."""
+    k = F.col("s_suppkey")
+    name = (F.when(k % 5 == 0, F.concat(F.lit("note "), k, F.lit(".txt"))).when(k % 5 == 1, F.concat(F.lit("note "), k, F.lit(".log")))
+            .when(k % 5 == 2, F.concat(F.lit("sub/"), k, F.lit(".txt"))).when(k % 5 == 3, F.concat(F.lit("."), k, F.lit(".txt")))
+            .otherwise(F.concat(F.lit("note "), k, F.lit(".TXT"))))
+    root = scratch(spark, "notes")
+    sinks.write_files(B.table(spark, sf, "supplier").select(name.alias("relpath"), F.repeat(F.lit("xy\n"), (k % 3).cast("int")).alias("content")), root)
+    return files.matching_files(spark, root)

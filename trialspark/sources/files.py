@@ -9,27 +9,11 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from .. import schemas
+from .folders import folder
 
 SCHEME = "^[a-z][a-z0-9+.-]*:/*"
 
 
-def _listing(spark: SparkSession, root: str, pattern: str | None = None, recursive: bool = True) -> DataFrame:
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    if pattern:
-        reader = reader.option("pathGlobFilter", pattern)
-    return reader.load(root)
-
-
-def _with_empty(files: DataFrame) -> DataFrame:
-    """Add rows for files of no bytes, which a Spark scan leaves out (path, and null elsewhere).
-
-    Their names come from the scan's own file index, which any read holds in the driver.
-    """
-    names = files.sparkSession.createDataFrame([(n,) for n in files.inputFiles()], "uri string")
-    named = names.select(_plain_path(_decoded(F.col("uri"))).alias("path"))
-    return named.join(files.withColumn("path", _plain_path(F.col("path"))), "path", "left")
-
-
 def _plain_path(path):
     return F.regexp_replace(path, SCHEME, "/")
 
@@ -46,11 +30,9 @@ def task_files(spark: SparkSession, root: str) -> DataFrame:
     otherwise its direct children are.
     """
     base = re.sub(SCHEME, "/", root.rstrip("/"))
-    names = ",".join(sorted({f.rsplit("/", 1)[-1] for f in (*C.TASK_FILES, "task.json")}))
-    files = _with_empty(_listing(spark, root, "{" + names + "}"))
-    below = F.regexp_extract("path", f"^/\\Q{base.lstrip('/')}\\E/(.*)$", 1)
-    rel = files.select(below.alias("rel"), F.coalesce("content", F.lit("").cast("binary")).alias("content"))
-    lone = rel.agg(F.coalesce(F.bool_or(F.col("rel") == "instruction.md"), F.lit(False)).alias("_lone"))
+    names = tuple(sorted({f.rsplit("/", 1)[-1] for f in (*C.TASK_FILES, "task.json")}))
+    rel = folder(spark, root, names, content=True).select(F.col("relpath").alias("rel"), F.coalesce("content", F.lit("").cast("binary")).alias("content"))
+    lone = folder(spark, root, ("instruction.md",), recursive=False).agg((F.count(F.lit(1)) > 0).alias("_lone"))
     inner = F.contains("rel", F.lit("/"))
     return (rel.join(F.broadcast(lone)).where(F.col("_lone") | inner)  # one row
             .select(F.when(F.col("_lone"), F.lit(base.rsplit("/", 1)[-1])).otherwise(F.regexp_extract("rel", "^([^/]+)/", 1)).alias("task"),
@@ -60,15 +42,20 @@ def task_files(spark: SparkSession, root: str) -> DataFrame:
 def trial_records(spark: SparkSession, root: str, multiline: bool = True) -> DataFrame:
     """Saved trial files: their fields, plus run folder, task folder and number from the path.
 
-    `multiline` reads one indented object per file; without it, JSON lines.
+    `multiline` reads one object per file named trial-*.json, indented or not, at any depth; an empty or broken file is a record of
+    nulls. Without it, JSON lines of any name.
     """
-    reader = spark.read.schema(schemas.TRIAL_FILE).option("recursiveFileLookup", "true")
-    if multiline:
-        reader = reader.option("multiLine", "true").option("pathGlobFilter", "trial-*.json")
-    path = _decoded(F.col("_metadata.file_path"))
     tail = "/([^/]+)/([^/]+)/trial-([0-9]+)\\.json$"
-    return reader.json(root).select(
-        "*", F.nullif(F.regexp_extract(path, tail, 1), F.lit("")).alias("run_dir"),
+    if multiline:
+        path = F.col("path")
+        found = folder(spark, root, ("trial-*.json",), content=True, fan=2)  # runs, then tasks
+        records = found.select(path, F.from_json(F.col("content").cast("string"), schemas.TRIAL_FILE).alias("r")).select("r.*", path)
+    else:
+        path = _decoded(F.col("_metadata.file_path"))
+        records = spark.read.schema(schemas.TRIAL_FILE).option("recursiveFileLookup", "true").json(root).select("*", path.alias("path"))
+        path = F.col("path")
+    return records.select(
+        *[c for c in records.columns if c != "path"], F.nullif(F.regexp_extract(path, tail, 1), F.lit("")).alias("run_dir"),
         F.nullif(F.regexp_extract(path, tail, 2), F.lit("")).alias("task_dir"),
         F.nullif(F.regexp_extract(path, tail, 3), F.lit("")).cast("int").alias("trial_no"))
 
@@ -83,11 +70,10 @@ def sales(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.SALES).csv(path, header=True, mode="FAILFAST")
 
 
-def matching_files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
+def matching_files(spark: SparkSession, where: str, pattern: str = "*.txt") -> DataFrame:
     """Files directly in a folder whose names match; none is an empty result, not an error."""
-    found = _listing(spark, folder, pattern, recursive=False)
-    return found.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length",
-                        F.sha2("content", 256).alias("digest"))
+    found = folder(spark, where, (pattern,), recursive=False, content=True)
+    return found.select(F.col("relpath").alias("name"), F.col("size").alias("length"), F.sha2("content", 256).alias("digest"))
 
 
 def file_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -96,12 +82,13 @@ def file_lines(spark: SparkSession, path: str) -> DataFrame:
     Files are read in splits and counted before the shuffle, so one huge file is no problem. An
     open last line shows in the bytes: every line counted with its newline is one more than the file.
     """
-    text = spark.read.text(path, lineSep="\n")
+    text = spark.read.text(path, lineSep="\n", recursiveFileLookup=True)
     counted = (text.select(_decoded(F.col("_metadata.file_path")).alias("_uri"), F.col("_metadata.file_size").alias("size"),
                            F.octet_length("value").alias("bytes"))
                .groupBy(_plain_path(F.col("_uri")).alias("path"), "size")
                .agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("bytes") + 1).alias("bytes")))
-    listed = _with_empty(_listing(spark, path)).select("path")
+    # Files of no bytes are listed but not scanned; names that begin with a dot or an underscore are hidden from scans.
+    listed = folder(spark, path).where(~F.col("path").rlike("/[._][^/]*$")).select("path")
     lines = F.col("rows") - (F.col("bytes") - F.col("size"))
     return listed.join(counted, "path", "left").select("path", F.coalesce(lines, F.lit(0).cast("bigint")).alias("lines"))
 
