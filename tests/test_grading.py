@@ -181,3 +181,16 @@ def test_answer_check(spark):
     df = spark.createDataFrame([(" en\n",), ("fr",), (None,)], "a string").coalesce(1)
     got = [r.r for r in df.select(grading.answer_check(F.col("a"), F.lit("en")).alias("r")).collect()]
     assert got == ["PASS", "FAIL: expected en, got 'fr'", "FAIL: expected en, got ''"]
+
+
+def test_sketches_of_runs_merge(spark, tmp_path):
+    """Sketches kept per run estimate within the bound, and new runs are added to old ones without their trials."""
+    rows = spark.range(60_000).select((F.col("id") % 5).alias("run_id"), (F.col("id") % 17_000).alias("task"))
+    old, new = (summaries.task_sketches(rows.where(c)) for c in ("run_id < 3", "run_id >= 3"))
+    old.write.parquet(str(tmp_path / "old"))
+    both = spark.read.parquet(str(tmp_path / "old")).unionByName(new)
+    got = {r.run_id: r.estimate for r in summaries.sketched_tasks(both).collect()}
+    exact = {r.run_id: r.n for r in rows.groupBy("run_id").agg(F.count_distinct("task").alias("n")).collect()} | {None: 17_000}
+    assert set(got) == set(exact) and all(abs(got[k] - exact[k]) <= summaries.SKETCH_BOUND * exact[k] for k in exact)
+    empty = summaries.sketched_tasks(summaries.task_sketches(rows.limit(0))).collect()
+    assert [(r.run_id, r.estimate) for r in empty] == [(None, 0)]

@@ -169,3 +169,21 @@ def test_config_merge_in_the_jvm(spark):
     for plan in (got, layers.opened(df)):
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in text and "Arrow" not in text
+
+
+def test_jsonable_rows_walk_any_schema(spark):
+    row = ("1, timestamp'2024-01-02 03:04:05.678901', named_struct('at', timestamp'2024-01-02 00:00:00', 'n', 7, 'deep', array(map('x', named_struct('day', date'2024-02-29', "
+           "'local', timestamp_ntz'2024-05-06 07:08:09.5', 'note', 'keep 2024')), null, map('y', null))), map(date'2024-01-01', array(date'2023-12-31', null)), "
+           "named_struct('a', 1, 'b', array('z')), array(null, timestamp'1969-12-31 23:59:59')")
+    df = spark.sql(f"SELECT * FROM VALUES ({row}), (2, null, null, null, null, null) AS t(id, at, `odd name`, days, plain, none)")
+    told = T.jsonable_rows(df)
+    first, second = (r.asDict(recursive=True) for r in told.orderBy("id").collect())
+    assert first["at"] == "2024-01-02T03:04:05.678901+00:00" and first["odd name"]["at"] == "2024-01-02T00:00:00+00:00" and first["odd name"]["n"] == 7
+    assert first["odd name"]["deep"] == [{"x": {"day": "2024-02-29", "local": "2024-05-06T07:08:09.500000", "note": "keep 2024"}}, None, {"y": None}]
+    assert list(first["days"].values()) == [["2023-12-31", None]] and first["plain"] == {"a": 1, "b": ["z"]}
+    assert first["none"] == [None, "1969-12-31T23:59:59+00:00"]
+    assert all(v is None for k, v in second.items() if k != "id")
+    changed = lambda kind: kind.replace("timestamp_ntz", "string").replace("timestamp", "string").replace("day:date", "day:string").replace("array<date>", "array<string>")
+    assert told.schema.simpleString() == changed(df.schema.simpleString())
+    same = df.select("id", "plain")
+    assert T.jsonable_rows(same).schema == same.schema

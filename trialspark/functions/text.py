@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as C
 
@@ -83,6 +84,38 @@ def iso_timestamp(at_micros: Column) -> Column:
     return F.concat(whole, part, F.lit("+00:00"))
 
 
+def jsonable(value: Column, kind: T.DataType) -> Column:
+    """`value` with every timestamp and date in it as ISO text, at any depth of structs, arrays and map values.
+
+    All else stays as it is, nulls included; a value without times is passed on untouched. A timestamp without a zone has no offset.
+    """
+    if not _holds_time(kind):
+        return value
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[jsonable(value.getField(f.name), f.dataType).alias(f.name) for f in kind.fields]))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: jsonable(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, v: jsonable(v, kind.valueType))
+    if isinstance(kind, T.DateType):
+        return F.date_format(value, "yyyy-MM-dd")
+    text = iso_timestamp(F.unix_micros(value.cast("timestamp")))
+    return F.substring_index(text, "+", 1) if isinstance(kind, T.TimestampNTZType) else text
+
+
+def _holds_time(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_holds_time(f.dataType) for f in kind.fields)
+    if isinstance(kind, (T.ArrayType, T.MapType)):
+        return _holds_time(kind.elementType if isinstance(kind, T.ArrayType) else kind.valueType)
+    return isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType))
+
+
+def jsonable_rows(rows: DataFrame) -> DataFrame:
+    """`rows` with the times of all columns as text; names and everything else unchanged."""
+    return rows.select(*[jsonable(rows[f"`{f.name}`"], f.dataType).alias(f.name) for f in rows.schema.fields])
+
+
 def bytes_to_mb(size: Column) -> Column:
     return size / F.lit(1048576.0)
 

@@ -206,3 +206,23 @@ def file_growth(sizes: DataFrame, hot_rows: int | None = None) -> DataFrame:
     return pairs.groupBy("source").agg(
         F.coalesce(F.sum(F.when(delta > 0, delta)), F.lit(0)).alias("grown"),
         F.count_if(gap > 1_000_000).alias("restarts"), F.count(F.lit(1)).alias("samples"))
+
+
+#: Bits of a sketch's registers, and the share by which its estimate may be off (three standard errors).
+SKETCH_BITS = 12
+SKETCH_BOUND = 3 * 1.04 / 2 ** (SKETCH_BITS / 2)
+
+
+def task_sketches(trials: DataFrame, keys: tuple[str, ...] = ("run_id",), task: str = "task") -> DataFrame:
+    """A sketch of the distinct tasks of each run, some kilobytes at most, however many trials it has.
+
+    Sketches can be kept and merged: those of new runs are added to old ones without going back to the trials.
+    """
+    return trials.groupBy(*keys).agg(F.hll_sketch_agg(task, SKETCH_BITS).alias("sketch"))
+
+
+def sketched_tasks(sketches: DataFrame) -> DataFrame:
+    """(run_id, estimate) of every run, and of all runs together (null run_id), by merging the runs' sketches."""
+    each = sketches.select("run_id", F.hll_sketch_estimate("sketch").alias("estimate"))
+    whole = sketches.agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+    return each.unionByName(whole.select(F.lit(None).cast(sketches.schema["run_id"].dataType).alias("run_id"), "estimate"))

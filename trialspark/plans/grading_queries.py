@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text as T
 from ..operators import fleet, grading, summaries
+from ..session import scratch
 from . import bindings as B
 from .registry import query
 
@@ -500,3 +501,40 @@ def strip_text(spark, sf):
 @query("line_count", r"SELECT doc_id, CAST(length(text) - length(replace(text, chr(10), '')) AS INT) AS lines FROM documents")
 def line_count(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", T.line_count(F.col("text")).alias("lines"))
+
+
+_ISO = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us({0}) % 1000000 = 0 THEN '' ELSE strftime({0}, '.%f') END || '+00:00'"
+
+
+@query("iso_nested", f"""
+  WITH e AS (SELECT event_id, event_type, user_id, ts, unnest([1, 2]) AS n FROM events)
+  SELECT event_id, event_type AS kind, n, CASE WHEN n = 1 OR user_id % 3 > 0 THEN {_ISO.format("(ts + to_seconds(n))")} END AS at, n = 1 OR user_id % 3 > 0 AS there,
+    strftime(ts, '%Y-%m-%d') AS day, 'x' || event_id AS note FROM e""")
+def iso_nested(spark, sf):
+    """Times in structs in an array in a map, beside others, some of them missing, as ISO text."""
+    ts, later = F.col("ts").cast("timestamp"), lambda n: F.timestamp_micros(B.micros("ts") + n * 1_000_000)
+    entry = lambda n: F.struct(F.lit(n).alias("n"), later(n).alias("at"), F.concat(F.lit("x"), "event_id").alias("note"))
+    second = F.when(F.col("user_id") % 3 > 0, entry(2))
+    rows = B.table(spark, sf, "events").select(
+        "event_id", F.create_map(F.col("event_type"), F.array(entry(1), second)).alias("log"), F.to_date(ts).alias("day"))
+    told = T.jsonable_rows(rows)
+    each = told.select("event_id", "day", F.explode("log").alias("kind", "entries")).select("event_id", "day", "kind", F.posexplode("entries").alias("i", "entry"))
+    return each.select("event_id", "kind", (F.col("i") + 1).alias("n"), "entry.at", F.col("entry").isNotNull().alias("there"), "day",
+                       F.concat(F.lit("x"), "event_id").alias("note"))
+
+
+@query("distinct_tasks_sketched", """
+  WITH r AS (SELECT l_suppkey AS run_id, l_partkey AS task FROM lineitem)
+  SELECT CAST(NULL AS BIGINT) AS run_id, count(DISTINCT task) AS tasks, true AS within_bound FROM r
+  UNION ALL SELECT run_id, count(DISTINCT task), true FROM r GROUP BY run_id""")
+def distinct_tasks_sketched(spark, sf):
+    """Exact numbers beside estimates from sketches that are kept per run; the overall estimate is merged from the runs' sketches."""
+    rows = B.table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("run_id"), F.col("l_partkey").alias("task"))
+    kept = scratch(spark, "sketches")
+    summaries.task_sketches(rows).write.parquet(kept)
+    told = summaries.sketched_tasks(spark.read.parquet(kept))
+    pairs = rows.distinct()
+    exact = (pairs.groupBy("run_id").agg(F.count(F.lit(1)).alias("tasks"))
+             .unionByName(pairs.select("task").distinct().agg(F.count(F.lit(1)).alias("tasks")).select(F.lit(None).cast("bigint").alias("run_id"), "tasks")))
+    within = F.abs(F.col("estimate") - F.col("tasks")) <= summaries.SKETCH_BOUND * F.col("tasks")
+    return exact.join(told.withColumnRenamed("run_id", "_run"), F.col("run_id").eqNullSafe(F.col("_run"))).select("run_id", "tasks", within.alias("within_bound"))
