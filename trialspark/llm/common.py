@@ -49,3 +49,14 @@ def ascii_lower(text: Column) -> Column:
 def words(text: Column) -> Column:
     """The words of a text in order; none for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(NOT_SPACE), F.lit(0))
+
+
+def aside(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with its columns renamed by place, and the new name of each: an operator's own columns cannot meet names of its input."""
+    named = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()]), named
+
+
+def restored(rows: DataFrame, named: dict[str, str], new: list[str]) -> DataFrame:
+    """The columns that `aside` renamed under their old names, then those called `new`."""
+    return rows.select(*[F.col(n).alias(c) for c, n in named.items()], *new)

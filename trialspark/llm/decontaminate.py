@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, written
+from .common import aside, prepare, restored, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -115,15 +115,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     spark = prepare(docs.sparkSession)
     new = [prefix + c for c in ("n_words", "n_hit", "items", "spans")]
     keep = [c for c in docs.columns if c not in new]
-    now = docs.select(*keep, F.lit(0).cast("long").alias("_n"), F.lit(None).cast("array<array<int>>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"),
+    hidden, named = aside(docs.select(*[F.col(f"`{c}`") for c in keep]))
+    now = hidden.select("*", F.lit(0).cast("long").alias("_n"), F.lit(None).cast("array<array<int>>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"),
                       F.lit(None).cast("array<array<int>>").alias("_places"))
     for number, block in enumerate(_blocks(benchmark, item, item_text, block_bytes)):
         if number:
             now = written(now, "decontaminate-block")
         now = _scanned(spark, now, keep.index(text), block, window, offsets)
     hit = F.aggregate(F.coalesce("_spans", F.array()), F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
-    return now.select(*keep, F.col("_n").alias(new[0]), hit.alias(new[1]), F.coalesce(F.array_sort("_items"), F.array().cast("array<string>")).alias(new[2]),
+    told = now.select(*named.values(), F.col("_n").alias(new[0]), hit.alias(new[1]), F.coalesce(F.array_sort("_items"), F.array().cast("array<string>")).alias(new[2]),
                       F.col("_places").alias(new[3]))
+    return restored(told, named, new)
 
 
 def _scanned(spark, docs: DataFrame, text_at: int, block, window: int, offsets: bool) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ordered import positions
-from .common import NOT_SPACE, prepare, written
+from .common import NOT_SPACE, aside, prepare, restored, written
 
 WEIGHTS = (1, 2, 3)
 #: No target is above this many times its source's size.
@@ -76,11 +76,12 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: s
 def repeated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """`docs` as the mix takes them: each row as often as its copies say, all columns kept."""
     prepare(docs.sparkSession)
-    sizes = written(docs.select(F.col(source).alias("source"), size_of(F.col(text)).alias("size")), "mix-sizes")
-    wanted = written(targets(sizes), "mix-targets")
+    rows, named = aside(docs)
+    own, body, whose = (F.col(named[c]) for c in (id_col, text, source))
+    sizes = written(rows.select(whose.alias("source"), size_of(body).alias("size")), "mix-sizes")
+    wanted = written(targets(sizes), "mix-targets").select(F.col("source").alias("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target"))
     rate = F.when(F.col("_size") > 0, F.col("_target") / F.col("_size")).otherwise(0.0)
-    drawn = draw(F.col(id_col), F.md5(F.coalesce(F.col(text), F.lit(""))))
+    drawn = draw(own, F.md5(F.coalesce(body, F.lit(""))))
     copies = (F.floor(rate) + (drawn < rate - F.floor(rate)).cast("int")).cast("int")
-    named = wanted.select(F.col("source").alias("_source"), F.col("source_size").alias("_size"), F.col("target").alias("_target"))
-    met = docs.join(named, F.col(source).eqNullSafe(F.col("_source")))
-    return met.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")).drop("_copy")
+    met = rows.join(wanted, whose.eqNullSafe(F.col("_source")))
+    return restored(met.select(*named.values(), F.explode(F.array_repeat(F.lit(1), copies)).alias("_copy")), named, [])

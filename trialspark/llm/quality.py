@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, prepare, words, written
+from .common import aside, let, prepare, restored, words, written
 
 #: Most of the good texts that the rules together may reject falsely, and how sure that must be.
 RISK, ERROR = 0.04, 0.05
@@ -141,16 +141,15 @@ def judged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     """
     prepare(docs.sparkSession)
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    keep = [c for c in docs.columns if c not in new] if carry else [id_col]
-    stats = written(counted(docs, text).select(*keep, "_q"), "quality")
+    rows, named = aside(docs)
+    keep = {c: n for c, n in named.items() if (c not in new if carry else c == id_col)}
+    stats = written(counted(rows, named[text]).select(*keep.values(), "_q"), "quality")
     # A row per stratum at most: bounded by the number of strata.
-    rules = (cutoffs(stats.select(id_col, "_q"), labels, id_col, label, risk, error).groupBy("stratum")
+    rules = (cutoffs(stats.select(F.col(named[id_col]).alias(id_col), "_q"), labels, id_col, label, risk, error).groupBy("stratum")
              .agg(F.map_from_entries(F.collect_list(F.struct("metric", "cutoff"))).alias("_rules")))
     q = F.col("_q")
-    tagged = stats.withColumn("stratum", _stratum(q)) if "stratum" not in keep else stats.withColumnRenamed("stratum", "_stratum").withColumn("stratum", _stratum(q))
-    met = tagged.join(F.broadcast(rules), "stratum", "left")
+    met = stats.withColumn("stratum", _stratum(q)).join(F.broadcast(rules), "stratum", "left")
     base = (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
     breaks = F.exists(F.transform(_steps(q), lambda s, m: s >= F.coalesce(F.try_element_at(F.col("_rules"), m), F.lit(STEPS + 1))), lambda b: b)
-    return met.select(*[F.col("_stratum").alias("stratum") if c == "stratum" else c for c in keep], q["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"),
-                      q["n_symbols"].alias("n_symbols"), q["n_dup_lines"].alias("n_dup_lines"), q["n_repeat_words"].alias("n_repeat_words"),
-                      base.alias("base_failed"), (~base & ~F.coalesce(breaks, F.lit(False))).alias("kept"))
+    told = met.select(*keep.values(), *[q[c].alias(c) for c in new[:5]], base.alias("base_failed"), (~base & ~F.coalesce(breaks, F.lit(False))).alias("kept"))
+    return restored(told, keep, new)

@@ -105,6 +105,6 @@ def scanned(versions: DataFrame, ledger: str | None = None, text: str = "text",
     # Written first: a join with an aggregate could not be split where a blob has very many paths.
     found = written(spark.read.schema(LEDGER).parquet(ledger).where((F.col("rules") == version) & (F.size("spans") > 0))
                     .groupBy("blob").agg(F.first("spans").alias("spans")), "secret-findings")
-    keep = [c for c in versions.columns if c not in (text, "blob", "spans")]
+    keep = [F.col(f"`{c}`") for c in versions.columns if c not in (text, "blob", "spans")]
     return (versions.select(*keep, blob_of(F.col(text)).alias("blob")).join(found, "blob", "left")
             .select(*keep, "blob", F.coalesce("spans", F.array().cast("array<struct<kind:string,start:long,end:long>>")).alias("spans")))

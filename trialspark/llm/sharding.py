@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, prepare, written
+from .common import aside, let, prepare, restored, written
 
 SHARDS = 16
 CELL_BITS = 16
@@ -81,14 +81,15 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards:
     """(id, size, text_crc32, shard, slot) per row, or with `carry` all columns and those four.
 
     size is the text's UTF-8 bytes plus 1; a null text counts as empty and shares its group. Equal texts share a shard; slots run
-    from 0 without gaps in each shard, in order of cell, id, text. Rows of equal id and text take neighbouring slots, in
-    either order. With `carry`, columns of `docs` that bear the names of results are replaced. Empty in, empty out.
+    from 0 without gaps in each shard, cell by cell. Within a cell of at most `part_rows` rows they go by id and text; a larger
+    one goes by parts, that many rows each, dealt by a hash of the id. With `carry`, columns of `docs` that bear the names of results are replaced. Empty in, empty out.
     """
     prepare(docs.sparkSession)
     new = ["size", "text_crc32", "shard", "slot"]
-    keep = [c for c in docs.columns if c not in new] if carry else [id_col]
-    t = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(*keep, (F.octet_length(t).cast("long") + 1).alias("size"), F.crc32(t).alias("text_crc32"),
+    rows, named = aside(docs)
+    keep = {c: n for c, n in named.items() if (c not in new if carry else c == id_col)}
+    own, t = F.col(named[id_col]), F.coalesce(F.col(named[text]), F.lit(""))
+    base = rows.select(*keep.values(), (F.octet_length(t).cast("long") + 1).alias("size"), F.crc32(t).alias("text_crc32"),
                        F.shiftrightunsigned(F.xxhash64(t), 64 - CELL_BITS).cast("int").alias("_cell"))
     if not carry:
         base = written(base, "shard-sizes")
@@ -100,10 +101,11 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards:
     before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     planned = written(planned.select("_cell", "shard", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
                                      F.ceil(F.col("_n") / part_rows).cast("int").alias("_parts")), "shard-plan")
-    tagged = base.join(F.broadcast(planned), "_cell").withColumn("_part", F.pmod(F.xxhash64(F.col(id_col)), F.col("_parts")).cast("int"))
+    tagged = base.join(F.broadcast(planned), "_cell").withColumn("_part", F.pmod(F.xxhash64(own), F.col("_parts")).cast("int"))
     earlier = Window.partitionBy("_cell").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (tagged.where("_parts > 1").groupBy("_cell", "_part").agg(F.count(F.lit(1)).alias("_rows"))
               .select("_cell", "_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start")))
-    order = Window.partitionBy("_cell", "_part").orderBy(F.col(id_col), "text_crc32", "size")
+    order = Window.partitionBy("_cell", "_part").orderBy(own, "text_crc32", "size")
     slot = F.col("_offset") + F.coalesce("_start", F.lit(0)) + F.row_number().over(order) - 1
-    return tagged.join(starts, ["_cell", "_part"], "left").select(*keep, "size", "text_crc32", "shard", slot.cast("long").alias("slot"))
+    told = tagged.join(starts, ["_cell", "_part"], "left").select(*keep.values(), "size", "text_crc32", "shard", slot.cast("long").alias("slot"))
+    return restored(told, keep, new)
