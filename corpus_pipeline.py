@@ -13,10 +13,15 @@ from trialspark.llm import decontaminate, mixing, quality, sharding, simhash
 from trialspark.llm.common import prepare, table, written
 
 
+def columns(docs: DataFrame) -> list:
+    """The columns of `docs`, whatever their names."""
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     judged = quality.judged(docs, table(prepare(spark), sf_dir, "labels"), carry=True)
-    return judged.where("kept").select(*docs.columns)
+    return judged.where("kept").select(*columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark passage."""
     found = decontaminate.contamination(docs, table(prepare(spark), sf_dir, "benchmark"), prefix="_c_", offsets=False)
-    return found.where(F.col("_c_n_hit") == 0).select(*docs.columns)
+    return found.where(F.col("_c_n_hit") == 0).select(*columns(docs))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
