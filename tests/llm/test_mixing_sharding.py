@@ -114,8 +114,8 @@ def test_queries_match_their_sql(spark, name):
     assert check.rows_of(got.columns, got.collect()) == check.rows_of([d[0] for d in cur.description], cur.fetchall())
 
 
-def test_ten_operators_are_registered():
-    assert {n.split("_")[0] for n in entry.CORPUS if n != "pipeline"} == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.CORPUS
+def test_thirteen_operators_are_registered():
+    assert {n.split("_")[0] for n in entry.CORPUS if n != "pipeline"} == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.CORPUS
 
 
 @needs_tables
