@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from trialspark.llm import decontaminate, extract, quality, secrets, toxicity, urls
+from trialspark.llm import decontaminate, extract, kernels, quality, secrets, toxicity, urls
 from trialspark.llm.common import prepare
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -204,3 +204,60 @@ def test_toxicity_learns_from_whole_texts(spark):
     got = toxicity.toxicity(frame, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")).collect()
     held = [r for r in got if r.held_out]
     assert held and all(r.predicted == int(r.doc_id % 4 == 0) for r in held)
+
+
+def plain_toxicity(text, weights, bias):
+    """Noisy-or over the sentences of different score, word by word; and the code points of offending sentences."""
+    def spread(x):
+        for k in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * k % 2 ** 64
+        return x ^ x >> 33
+
+    def number(data, extra):
+        return spread((sum((b + 1) * pow(kernels.BASES[0], i, 2 ** 64) for i, b in enumerate(data)) + extra) % 2 ** 64) % (toxicity.DIMENSIONS // 2)
+
+    scores, spans = set(), []
+    for sentence in re.finditer(r"[^.!?\n]+", text or ""):
+        words = list(re.finditer(r"[0-9A-Za-z\u0080-\U0010ffff]+", sentence[0]))
+        if not words:
+            continue
+        z = bias
+        for w in words:
+            data = re.sub("[A-Z]", lambda m: m[0].lower(), w[0]).encode()
+            z += float(weights[number(data, len(data))]) + float(weights[number(data[:toxicity.BEGINNING], 0) + toxicity.DIMENSIONS // 2])
+        scores.add(round(z, 9))
+        if z >= 0:
+            spans.append([sentence.start() + words[0].start(), sentence.start() + words[-1].end()])
+    clean = 1.0
+    for z in scores:
+        clean *= min(1.0, (1 + math.exp(bias)) / (1 + math.exp(z)))
+    return 1 - clean, spans
+
+
+def test_toxicity_scores_match_a_plain_noisy_or(spark):
+    prepare(spark)
+    calm = "the sea is calm and wide. people walk home! bread is warm"
+    docs = [(i, f"{calm} {i}" + (f". Ünd you utter blockhead thére {i}! 的 blockhead, you" if i % 4 == 0 else f". you are kind {i}")) for i in range(300)]
+    docs += [(1000, None), (1001, ""), (1002, ".!?\n"), (1003, "blockhead"), (1004, "YOU UTTER BLOCKHEAD?" * 3)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.trained(frame, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int"), F.lit(True))
+    texts = dict(docs)
+    for r in toxicity.scored(frame, model).collect():
+        score, spans = plain_toxicity(texts[r.doc_id], *model)
+        assert r.score == pytest.approx(score, abs=1e-6)
+        assert r.offending == spans
+    assert plain_toxicity(texts[0], *model)[1]
+
+
+def test_length_does_not_make_a_text_toxic(spark):
+    """Repeated texts keep their score, and sentences that tell nothing change none."""
+    prepare(spark)
+    calm = "the sea is calm and wide. people walk home! bread is warm"
+    docs = [(i, f"{calm} {i}. " + (f"you utter blockhead there {i}" if i % 4 == 0 else f"more of it {i}")) for i in range(300)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.trained(frame, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int"), F.lit(True))
+    once, often, longer = (toxicity.scored(frame.select("doc_id", F.expr(e).alias("text")), model).select("doc_id", "score").collect()
+                           for e in ("text", "repeat(text || '\n', 50)", r"text || '\n' || array_join(transform(sequence(1, 400), k -> 'unheard ' || (7000 + k) || '.'), ' ')"))
+    assert dict(map(tuple, often)) == pytest.approx(dict(map(tuple, once)), abs=1e-9)
+    assert dict(map(tuple, longer)) == pytest.approx(dict(map(tuple, once)), abs=1e-9)
+    assert all((score >= 0.5) == (i % 4 == 0) for i, score in once)

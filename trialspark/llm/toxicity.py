@@ -1,9 +1,10 @@
 """Toxicity by multiple-instance learning.
 
-A document is a bag of sentences. A sentence's probability is a logistic score over hashed words and word beginnings; a
-document is toxic unless every sentence is clean (noisy-or). The weights are trained from document labels alone, by
-gradient steps on the noisy-or likelihood, on a bounded sample of labelled rows; sentences with a probability of one half
-or more are then the offending ones.
+A document is a set of sentences. A sentence's logistic score over hashed words and word beginnings counts by what it adds to
+the score of a sentence that tells nothing, so sentences without telling words have probability 0 and a long clean text stays
+clean; sentences of the same score are one instance, so a repeated text keeps its score. A document is toxic unless every
+instance is clean (noisy-or). The weights are trained from document labels alone, by gradient steps on the noisy-or
+likelihood, on a bounded sample of labelled rows; sentences with a logistic score of one half or more are then the offending ones.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ SAMPLE_ROWS = 3000
 DIMENSIONS = 1 << 18
 BEGINNING = 5
 STEPS, RATE, PENALTY, BIAS = 400, 0.5, 1e-5, -6.0
+#: In training only: the probability that a document is toxic though no sentence of it tells so (a label that the words do not explain).
+LEAK = 0.3
 #: Features must stand in at least this many texts of the sample, and their share among toxic texts must be off their share among
 #: the others by this many standard errors: else a rare word would be learnt by heart.
 LEAST_TEXTS, LEAST_Z = 5, 4.0
@@ -63,6 +66,20 @@ def sentence_scores(np, weights, bias, ids, number, n):
     return bias + np.bincount(number, weights[ids].sum(1), minlength=n)
 
 
+def evidence(np, z, bias):
+    """-log of the probability that a sentence is clean: 0 for one that tells nothing, or tells of a clean text."""
+    return np.maximum(softplus(np, z) - softplus(np, bias), 0)
+
+
+def bag_scores(np, z, bias, doc, n):
+    """Noisy-or per document over its sentences of different score."""
+    order = np.lexsort((z, doc))
+    d, v = doc[order], z[order]
+    first = np.ones(len(v), bool)
+    first[1:] = (d[1:] != d[:-1]) | (v[1:] != v[:-1])
+    return -np.expm1(-np.bincount(d[first], evidence(np, v[first], bias), minlength=n))
+
+
 def telling(np, every, bad, n, n_bad):
     """Features that tell the labels apart, from the texts (of n) and toxic texts (of n_bad) that have each."""
     share = every / n
@@ -146,17 +163,23 @@ def fit(sample: DataFrame):
     first = np.cumsum(n) - n
     sentence, at = np.unique(np.asarray(ats.flatten()) + np.repeat(first, own), return_inverse=True)
     doc = np.searchsorted(first + n, sentence, "right")
-    silent = n - np.bincount(doc, minlength=len(y))  # sentences without a telling feature
+    # Sentences of a document with the same telling features are one instance.
+    code = np.zeros(len(sentence), np.uint64)
+    np.add.at(code, at, kernels.mix(feature.astype(np.uint64) + np.uint64(1)))
+    _, kept = np.unique(np.stack([doc.astype(np.uint64), code], 1), axis=0, return_index=True)
+    place = np.full(len(sentence), -1)
+    place[kept] = np.arange(len(kept))
+    feature, at, doc = feature[place[at] >= 0], place[at][place[at] >= 0], doc[kept]
     w, grown, grown_bias = np.zeros(len(used)), np.zeros(len(used)), 0.0
     share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     for _ in range(STEPS):
         z = bias + np.bincount(at, w[feature], minlength=len(doc))
+        clean = (1 - LEAK) * np.exp(-np.bincount(doc, evidence(np, z, bias), minlength=len(y)))
+        pull = np.where(y == 1, -clean / (1 - clean), 1.0) * share
+        slope = np.where(z >= bias, pull[doc], 0.0)
         p, p_silent = np.exp(-softplus(np, -z)), np.exp(-softplus(np, -bias))
-        clean = np.exp(-np.bincount(doc, softplus(np, z), minlength=len(y)) - silent * softplus(np, bias))  # probability that no sentence is toxic
-        pull = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0) * share
-        slope = pull[doc] * p
-        steep = slope.sum() + (pull * silent).sum() * p_silent
-        g = np.bincount(feature, slope[at], minlength=len(w)) + PENALTY * w
+        steep = (slope * (p - p_silent)).sum()
+        g = np.bincount(feature, (slope * p)[at], minlength=len(w)) + PENALTY * w
         grown += g * g
         grown_bias += steep ** 2
         w -= RATE * g / (np.sqrt(grown) + 1e-10)
@@ -207,15 +230,16 @@ def scored(docs: DataFrame, model, text: str = "text", prefix: str = "", locate:
                 own = texts[at:at + len(first)]
                 start, end, ids, number, doc = features(np, own, powers, in_word, normal)
                 z = sentence_scores(np, weights, bias, ids, number, len(doc))
-                scores.append(1 - np.exp(-np.bincount(doc, softplus(np, z), minlength=len(own))))
+                scores.append(bag_scores(np, z, bias, doc, len(own)))
                 spans = [[] for _ in own]
                 if locate and len(doc):
                     head = np.searchsorted(number, np.arange(len(doc)))
                     tail = np.searchsorted(number, np.arange(len(doc)), "right") - 1
-                    for k in np.flatnonzero(z >= 0):
-                        data = own[doc[k]]
-                        a, b = int(start[head[k]]), int(end[tail[k]])
-                        spans[doc[k]].append([len(data[:a].decode()), len(data[:b].decode())])
+                    offending = np.flatnonzero(z >= 0)
+                    for d in np.unique(doc[offending]):  # code points before each byte, counted once per text
+                        points = np.concatenate(([0], np.cumsum(np.frombuffer(own[d], np.uint8) & 0xC0 != 0x80)))
+                        k = offending[doc[offending] == d]
+                        spans[d] = np.stack([points[start[head[k]]], points[end[tail[k]]]], 1).tolist()
                 found += spans
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64()),
                                               pa.array(found if locate else [None] * len(texts), pa.list_(pa.list_(pa.int32())))], names=[*keep, *new])
