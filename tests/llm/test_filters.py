@@ -261,3 +261,38 @@ def test_length_does_not_make_a_text_toxic(spark):
     assert dict(map(tuple, often)) == pytest.approx(dict(map(tuple, once)), abs=1e-9)
     assert dict(map(tuple, longer)) == pytest.approx(dict(map(tuple, once)), abs=1e-9)
     assert all((score >= 0.5) == (i % 4 == 0) for i, score in once)
+
+
+@pytest.mark.parametrize("inside,kept", [
+    ("<p hidden>Held back.</p>", ["Held back."]), ('<p aria-hidden="true">One <b style="display:none">two</b></p>', ["One two"]),
+    ("<p>Formula <math><mi>E</mi> = <mi>m</mi></math> ends.</p>", ["Formula E = m ends."]), ("<p>Press <button>Start</button> now.</p>", ["Press Start now."]),
+    ("<p>A <label>tag</label>, a <svg><text>drawing</text></svg>, an <object>object</object> and a <canvas>canvas</canvas>.</p>", ["A tag, a drawing, an object and a canvas."]),
+    ("<header><h2>Part two</h2><p>By the author</p></header>", ["Part two", "By the author"]),
+    ('<section id="discussion"><h2>Discussion</h2><p>{0}</p><p>{0}</p></section>', ["Discussion", "{0}", "{0}"]),
+    ('<div class="widget"><p>{0}</p></div>', ["{0}"]), ('<div class="header"><p>{0}</p></div>', ["{0}"]),
+    ('<div class="widget"><ul><li><a href=x>gone</a></li><li><a href=y>gone</a></li></ul></div>', []), ('<div class="related"><a>gone</a><a>gone</a></div>', []),
+    ('<section id="discussion"><h3>Discussion</h3><div class="comment"><p>{0}</p></div><div class="comment"><p>{0}</p></div></section>', []),
+    ('<div id="comments"><p>{0}</p><p>{0}</p><p>{0}</p><p>{0}</p><p>{0}</p></div>', []), ("<footer>gone</footer><aside>gone</aside><form><button>gone</button><label>gone</label></form>", []),
+    ("<nav><a>gone</a></nav><style>p {{}}</style><script>gone()</script>", [])])
+def test_only_what_is_no_text_of_the_article_goes(inside, kept):
+    """The same element may be the article's or boilerplate; inside the article its text decides where its name does not."""
+    lead, end = "Lead " + PROSE.strip(), "End " + PROSE.strip()
+    page = f'<body><header><a>gone</a></header><button>gone</button><p hidden>gone</p><article><h1>Title</h1><p>{lead}</p>{inside.format(PROSE)}<p>{end}</p></article><footer>gone</footer></body>'
+    assert extract.main_text(page).split("\n") == ["Title", lead, *[k.format(PROSE.strip()) for k in kept], end]
+
+
+def test_ratios_smoothing_and_threshold_match_a_plain_form():
+    """Characters a tag, a Gaussian over neighbouring lines, and the midpoint of two clusters, in plain Python."""
+    import numpy as np
+
+    lines = [("a" * n, tags, False, 0, 0, False, False) for n, tags in [(5, 4), (9, 3), (240, 2), (180, 2), (8, 5), (300, 1), (4, 4), (6, 6)]]
+    ratio = [len(x[0]) / max(1, x[1]) for x in lines]
+    weight = {k: math.exp(-k * k / 2) for k in range(-3, 4)}
+    smooth = [sum(weight[k] * ratio[i + k] for k in weight if 0 <= i + k < len(ratio)) / sum(weight.values()) for i in range(len(ratio))]
+    cut = sum(smooth) / len(smooth)
+    for _ in range(50):
+        high, low = [x for x in smooth if x > cut], [x for x in smooth if x <= cut]
+        cut = (sum(high) / len(high) + sum(low) / len(low)) / 2
+    got = extract.dense_from(np, lines, np.ones(len(lines), bool), 1.0)
+    assert list(got[0]) == pytest.approx(ratio) and list(got[1]) == pytest.approx(smooth)
+    assert got[2] == pytest.approx(min(cut, sum(x for x in smooth if x >= cut) / len([x for x in smooth if x >= cut]) / 3))

@@ -3,7 +3,9 @@
 The standard library's parser streams events; they become lines, one per block element, with their characters and tags. Lines
 in boilerplate (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments) have no ratio. The
 ratios are smoothed with a Gaussian and clustered in two by a threshold; the containers of the lines in the high cluster are
-the content regions, and every line inside them that is not boilerplate is kept, however short.
+the content regions, and every line inside them that is not boilerplate is kept, however short. Inside an article, a header,
+a button's or label's text and hidden elements belong to it; elements whose names may as well be the article's own (a
+section named discussion, a widget) are boilerplate only if their text is thin by the same threshold.
 """
 
 from __future__ import annotations
@@ -22,14 +24,17 @@ SIGMA = 1.0
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3
  h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead title tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIPPED = frozenset("""aside button canvas datalist dialog footer form head header iframe input label nav noscript object script search select style svg
- template textarea title menu audio video map math""".split())
+SKIPPED = frozenset("aside audio datalist dialog footer form head iframe input map menu nav noscript script search select style template textarea title video".split())
+#: Boilerplate outside an article (of a page's header) or outside article and main (of the others) only.
+SKIPPED_OUTSIDE = {"header": ("article",), "button": ("article", "main"), "label": ("article", "main")}
 CONTAINERS = frozenset("article main section div body td html".split())
 #: Names in class, id or role that mark boilerplate.
 MARKS = frozenset("""ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus disclaimer footer gdpr
  header masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo promos promoted related share sharing sidebar
  sidebars signup social sponsor sponsored subscribe toolbar widget widgets complementary contentinfo alert alertdialog reactions replies respond discussion
  recommended recommendations""".split())
+#: Of these, names that inside an article may be the article's own; there the text decides.
+OPEN_MARKS = frozenset("discussion header masthead related widget widgets".split())
 #: A name of several words marks boilerplate if all of them are marks or these (site-footer, but not with-sidebar).
 NEUTRAL = frozenset("area bar block bottom box container global left links list main page posts right section site top wrap wrapper".split())
 #: End tags that an opening tag of these kinds implies.
@@ -53,6 +58,8 @@ def page_parser():
             self.parents = [-1]  # of containers
             self.kinds = ["html"]
             self.marks = [-1]  # the mark around each mark; 0 is no mark
+            self.open_marks: set[int] = set()  # those that hold by their text only
+            self.within: set[int] = set()  # those inside an article
             self.count = dict.fromkeys(("article", "main", "h1"), 0)  # open ones
 
         def inside(self) -> int:
@@ -70,7 +77,8 @@ def page_parser():
         def handle_starttag(self, tag, attrs):
             if tag == "br":
                 self.parts.append(" ")
-            if tag in BLOCKS or tag in SKIPPED:
+            skipped = self.skipped(tag)
+            if tag in BLOCKS or skipped:
                 self.flush()
             if tag in BLOCKS:
                 self.end_open_p()
@@ -84,8 +92,8 @@ def page_parser():
             self.tags += 1
             if tag in VOID:
                 return
-            starts, named = tag in SKIPPED or self.hidden(tag, attrs), self.named(tag, attrs)
-            if (starts or named) and tag not in BLOCKS and tag not in SKIPPED:
+            starts, named = skipped or self.hidden(tag, attrs), self.named(tag, attrs)
+            if (starts or named) and tag not in BLOCKS and not skipped:
                 self.flush()
             box, mark = self.inside(), self.mark()
             if tag in CONTAINERS:
@@ -95,6 +103,8 @@ def page_parser():
             if named:
                 self.marks.append(mark)
                 mark = len(self.marks) - 1
+                if self.count["article"]:
+                    (self.open_marks if named <= OPEN_MARKS | NEUTRAL else self.within).add(mark)
             if tag in self.count:
                 self.count[tag] += 1
             self.skip += starts
@@ -102,22 +112,28 @@ def page_parser():
 
         handle_startendtag = handle_starttag
 
+        def skipped(self, tag):
+            return tag in SKIPPED or tag in SKIPPED_OUTSIDE and not any(self.count[k] for k in SKIPPED_OUTSIDE[tag])
+
         def hidden(self, tag, attrs):
+            if self.count["article"] or self.count["main"]:
+                return False
             if tag in ("body", "html", "article", "main"):
                 return any(k == "hidden" for k, _ in attrs) and tag != "html"
             return any(k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and v and "display:none" in v.replace(" ", "").lower() for k, v in attrs)
 
         def named(self, tag, attrs):
-            """Whether a whole name in class, id or role is one of boilerplate."""
+            """The words of the names in class, id and role that as a whole are of boilerplate; empty if none is."""
+            marked = set()
             if tag in ("body", "html", "article", "main"):
-                return False
+                return marked
             for k, v in attrs:
                 if k in ("class", "id", "role") and v:
                     for name in v.lower().split():
                         own = set(words.findall(name))
                         if not own.isdisjoint(MARKS) and own <= MARKS | NEUTRAL:
-                            return True
-            return False
+                            marked |= own
+            return marked
 
         def end_open_p(self):
             """A block ends an open paragraph, however many inline elements are open inside it."""
@@ -144,6 +160,8 @@ def page_parser():
                 self.flush()
             for k in range(len(self.open) - 1, -1, -1):
                 if self.open[k][0] == tag:
+                    if self.open[k][1]:
+                        self.flush()
                     if tag in BLOCKS or any(t in BLOCKS or s or m != self.around(k) for t, s, _, m in self.open[k:]):
                         self.close_to(k)
                     else:
@@ -181,25 +199,46 @@ def threshold(np, values) -> float:
     return cut
 
 
-def boilerplate(np, lines, marks):
+def dense_from(np, lines, plain, sigma: float):
+    """Ratios of lines, raw and smoothed, and the least one of a dense line."""
+    length = np.array([len(x[0]) for x in lines], float)
+    ratio = np.where(plain, length / np.maximum(1, [x[1] for x in lines]), 0)
+    smooth = smoothed(np, ratio, sigma)
+    cut = threshold(np, smooth)
+    # Where all is prose, the clusters part long paragraphs from short ones: a third of the high mean is dense as well.
+    return ratio, smooth, min(cut, smooth[smooth >= cut].mean() / 3)
+
+
+def boilerplate(np, lines, marks, open_marks, within, sigma: float):
     """Lines in boilerplate. A mark does not hold for an element around the article, main or most of the page's text.
 
     Where articles stand outside all marks, marked ones with less than half of the articles' text (teasers, comments) are
-    boilerplate, and so are marks around more text than the rest if those articles have a tenth of the text.
+    boilerplate, and so are marks inside an article, and marks around more text than the rest if those articles have a tenth of
+    the text. An open mark holds if its text, other marks' apart, is thin: fewer characters a tag than a dense line has.
     """
     skip = np.array([x[2] for x in lines])
     length = np.where(skip, 0, [len(x[0]) for x in lines]).astype(float)
     mark, article = np.array([x[4] for x in lines]), np.array([x[5] for x in lines])
-    held, held_article = np.zeros(len(marks)), np.zeros(len(marks))
-    np.add.at(held, mark, length)
-    np.add.at(held_article, mark, length * article)
-    free = held_article[0]  # articles outside all marks
+    opened, closed = np.isin(np.arange(len(marks)), list(open_marks)), np.zeros(len(marks), bool)
+    for k in range(1, len(marks)):
+        closed[k] = not opened[k] or closed[marks[k]]
+    held, held_article = np.bincount(mark, length, len(marks)), np.bincount(mark, length * article, len(marks))
+    own_text, own_tags = held.copy(), np.bincount(mark, np.where(skip, 0, [x[1] for x in lines]), len(marks))
+    free = held_article[~closed].sum()  # articles outside all closed marks
     for k in range(len(marks) - 1, 0, -1):
         held[marks[k]] += held[k]
         held_article[marks[k]] += held_article[k]
+        if opened[k]:
+            own_text[marks[k]] += own_text[k]
+            own_tags[marks[k]] += own_tags[k]
+    least = dense_from(np, lines, ~skip & ~closed[mark], sigma)[2] if opened.any() and not (skip | closed[mark]).all() else 0
     holds = np.zeros(len(marks), bool)
     for k in range(1, len(marks)):
-        if held_article[k] and (not free or held_article[k] * 2 >= held_article[0]):
+        if opened[k]:
+            own = own_text[k] < least * max(1, own_tags[k])
+        elif k in within and free:
+            own = True
+        elif held_article[k] and (not free or held_article[k] * 2 >= held_article[0]):
             own = False
         else:
             own = held[k] * 2 <= held[0] or free * 10 >= held[0]
@@ -207,21 +246,17 @@ def boilerplate(np, lines, marks):
     return skip | holds[mark]
 
 
-def content(lines, parents, kinds, marks, sigma: float = SIGMA) -> list[str]:
+def content(lines, parents, kinds, marks, open_marks=frozenset(), within=frozenset(), sigma: float = SIGMA) -> list[str]:
     """Texts of the content regions, and the page's headings of the first level."""
     import numpy as np
 
     if not lines:
         return []
-    plain = ~boilerplate(np, lines, marks)
+    plain = ~boilerplate(np, lines, marks, open_marks, within, sigma)
     if not plain.any():
         return []
-    length = np.array([len(x[0]) for x in lines], float)
-    ratio = np.where(plain, length / np.maximum(1, [x[1] for x in lines]), 0)
-    smooth = smoothed(np, ratio, sigma)
-    cut = threshold(np, smooth)
-    # Where all is prose, the clusters part long paragraphs from short ones: a third of the high mean is dense as well.
-    dense = plain & (np.maximum(smooth, ratio) >= min(cut, smooth[smooth >= cut].mean() / 3))
+    ratio, smooth, least = dense_from(np, lines, plain, sigma)
+    dense = plain & (np.maximum(smooth, ratio) >= least)
     if not dense.any():
         dense = plain
     box, n = np.array([x[3] for x in lines]), len(parents)
@@ -235,18 +270,18 @@ def content(lines, parents, kinds, marks, sigma: float = SIGMA) -> list[str]:
     articles = [k for k in range(n) if kinds[k] in ("article", "main") and texts_in[k]]
     if not any(lines_in[k] for k in articles):
         articles = []
-    within, around = np.zeros(n, bool), np.zeros(n, bool)
+    chosen, around = np.zeros(n, bool), np.zeros(n, bool)
     if articles:  # all of them, and the containers of dense lines outside
-        within[articles] = True
+        chosen[articles] = True
         for k in articles:
             while (k := parents[k]) >= 0 and not around[k]:
                 around[k] = True
-        within |= own & ~around
+        chosen |= own & ~around
     else:  # the smallest container of all dense lines
-        within[max(k for k in range(n) if lines_in[k] == lines_in[0])] = True
+        chosen[max(k for k in range(n) if lines_in[k] == lines_in[0])] = True
     for k in range(1, n):
-        within[k] |= within[parents[k]]
-    kept = within | own & around  # of a container around an article, only its own lines
+        chosen[k] |= chosen[parents[k]]
+    kept = chosen | own & around  # of a container around an article, only its own lines
     return [x[0] for x, ok in zip(lines, plain, strict=True) if ok and (kept[x[3]] or x[6])]
 
 
@@ -255,7 +290,7 @@ def main_text(html: str, parser=None, sigma: float = SIGMA) -> str:
     page.feed(html)
     page.close()
     page.flush()
-    return "\n".join(content(page.lines, page.parents, page.kinds, page.marks, sigma))
+    return "\n".join(content(page.lines, page.parents, page.kinds, page.marks, page.open_marks, page.within, sigma))
 
 
 def extracted(pages: DataFrame, html: str = "html", name: str = "main_text", sigma: float = SIGMA) -> DataFrame:
