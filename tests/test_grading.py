@@ -101,6 +101,19 @@ def test_run_summary_keeps_empty_runs(spark):
     assert len(pairs) == 6 and [r.status for r in pairs if r.run_id == "b"] == [None]
 
 
+def test_run_page_of_one_run(spark):
+    """Header and counts beside trials by task and number; one row without trials, none for an unknown run."""
+    runs = spark.createDataFrame([("a", "m", 9), ("b", "m", None)], "run_id string, model string, finished_at long")
+    trials = spark.createDataFrame([("a", 3, "t2", 1, "PASS"), ("a", 2, "t1", 2, "FAIL"), ("a", 1, "t1", 1, "running"), ("c", 4, "t1", 1, "PASS")],
+                                   "run_id string, trial_id int, task string, trial_no int, status string")
+    page = summaries.run_page(runs, trials, "a").collect()
+    assert [(r.trial_id, r.task, r.trial_no, r.trial_status) for r in page] == [(1, "t1", 1, "running"), (2, "t1", 2, "FAIL"), (3, "t2", 1, "PASS")]
+    assert {(r.model, r.finished_at, r.total, r.passed, r.failed, r.running, tuple(r.tasks)) for r in page} == {("m", 9, 3, 1, 1, 1, ("t1", "t2"))}
+    [lone] = summaries.run_page(runs, trials, "b").collect()
+    assert (lone.run_id, lone.total, lone.tasks, lone.trial_id, lone.finished_at) == ("b", 0, [], None, None)
+    assert summaries.run_page(runs, trials, "c").collect() == summaries.run_page(runs, trials, None).collect() == []
+
+
 def test_showcase_prefers_short_passes(spark):
     rows = [("r", 1, "t", 1, 30, "FAIL"), ("r", 2, "t", 2, 5, "PASS"), ("r", 3, "t", 3, 5, "PASS"), ("r", 4, "t", 4, 9, "PASS"),
             ("q", 5, "t", 1, 9, "FAIL"), ("q", 6, "t", 2, 12, "ERROR"), ("z", 7, "t", 1, 0, "PASS")]

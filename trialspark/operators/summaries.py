@@ -36,6 +36,20 @@ def run_summary(runs: DataFrame, trials: DataFrame) -> DataFrame:
                     F.coalesce("tasks", F.array().cast("array<string>")).alias("tasks")))
 
 
+def run_page(runs: DataFrame, trials: DataFrame, run_id) -> DataFrame:
+    """One run's record and counts beside each of its trials, by task and number.
+
+    `runs` has one row per run_id, `trials` its columns apart from those of `runs`. Both are cut to the run before anything else,
+    so with tables laid out by run this reads one run. A run without trials has one row, an unknown run none.
+    """
+    own = trials.where(F.col("run_id") == F.lit(run_id))
+    header = run_summary(runs.where(F.col("run_id") == F.lit(run_id)), own)
+    listed = own.withColumnRenamed("status", "trial_status")
+    matched = listed.join(F.broadcast(header), "run_id")  # one row
+    empty = header.where(F.col("total") == 0)
+    return matched.unionByName(empty, allowMissingColumns=True).orderBy("task", "trial_no")
+
+
 def runs_with_trials(runs: DataFrame, trials: DataFrame) -> DataFrame:
     """Left join kept parallel for a hot run: matched pairs, then the runs that have none.
 

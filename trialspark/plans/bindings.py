@@ -201,6 +201,14 @@ def with_numbers(trials: DataFrame) -> DataFrame:
 SQL["numbered"] = "SELECT *, row_number() OVER (PARTITION BY run_id, task ORDER BY trial_id) AS trial_no FROM graded"
 
 
+def trial_end() -> F.Column:
+    """When a trial of `recorded` ended, in microseconds; null for pending ones."""
+    return F.when(F.col("pending").isNull(), micros("started_at") + F.col("millis") * 10)
+
+
+TRIAL_END_SQL = "CASE WHEN pending IS NULL THEN epoch_us(started_at) + millis * 10 END"
+
+
 def with_steps(trials: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
     counts = step_counts(spark, sf)
     return (trials.join(counts, "trial_id", "left")
@@ -220,14 +228,31 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
         F.col("c_custkey").alias("run_id"), F.col("c_mktsegment").alias("model"),
         F.when(bal < 2000, "queued").when(bal < 4000, "running").when(bal < 7000, "done")
          .otherwise("cancelled").alias("run_status"),
-        (F.lit(1_704_067_200_000_000) + F.col("c_custkey") * 61_000_000).alias("created_at"))
+        (F.lit(1_704_067_200_000_000) + F.col("c_custkey") * 61_000_000).alias("created_at"),
+        F.when(bal >= 4000, F.lit(1_704_067_200_000_000) + F.col("c_custkey") * 61_000_000 + (F.col("c_custkey") % 977 + 1) * 1_000_000).alias("finished_at"))
 
 
 SQL["runs"] = """
   SELECT c_custkey AS run_id, c_mktsegment AS model,
          CASE WHEN c_acctbal < 2000 THEN 'queued' WHEN c_acctbal < 4000 THEN 'running'
               WHEN c_acctbal < 7000 THEN 'done' ELSE 'cancelled' END AS run_status,
-         1704067200000000 + c_custkey * 61000000 AS created_at
+         1704067200000000 + c_custkey * 61000000 AS created_at,
+         CASE WHEN c_acctbal >= 4000 THEN 1704067200000000 + c_custkey * 61000000 + (c_custkey % 977 + 1) * 1000000 END AS finished_at
+  FROM customer"""
+
+
+def run_settings(spark: SparkSession, sf: str) -> DataFrame:
+    """What each run was started with."""
+    key = F.col("c_custkey")
+    limits = F.create_map(F.lit("memory_mb"), (key % 8192 + 64).cast("string"), F.lit("max_file_mb"), key.cast("string"),
+                          F.lit("network"), (key % 2 == 0).cast("string"))
+    return table(spark, sf, "customer").select(key.alias("run_id"), F.concat(F.lit("http://model-"), F.col("c_nationkey"), F.lit(":8000/v1")).alias("base_url"),
+                                               (key % 200 + 1).cast("int").alias("max_steps"), limits.alias("limits"))
+
+
+SQL["run_settings"] = """
+  SELECT c_custkey AS run_id, 'http://model-' || c_nationkey || ':8000/v1' AS base_url, CAST(c_custkey % 200 + 1 AS INT) AS max_steps,
+         'memory_mb=' || (c_custkey % 8192 + 64) || ' network=' || CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END AS limits
   FROM customer"""
 
 

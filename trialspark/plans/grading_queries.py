@@ -210,7 +210,7 @@ COUNTS_SQL = """count(t.trial_id) AS total, count(*) FILTER (WHERE t.status = 'P
 # Counts per status first, then one column for each wanted one.
 SUMMARY_SQL = """, per_status AS (SELECT run_id, map_from_entries(list((status, n))) AS of FROM (SELECT run_id, status, count(*) AS n FROM graded GROUP BY ALL) GROUP BY run_id),
   named AS (SELECT run_id, array_to_string(list_sort(list(DISTINCT task)), ', ') AS tasks FROM graded GROUP BY run_id)
-  SELECT run_id, model, run_status, created_at, CAST(coalesce(list_sum(map_values(of)), 0) AS BIGINT) AS total, coalesce(of['PASS'], 0) AS passed,
+  SELECT run_id, model, run_status, created_at, finished_at, CAST(coalesce(list_sum(map_values(of)), 0) AS BIGINT) AS total, coalesce(of['PASS'], 0) AS passed,
     coalesce(of['FAIL'], 0) + coalesce(of['TAMPER'], 0) + coalesce(of['LIMIT'], 0) + coalesce(of['ERROR'], 0) AS failed,
     coalesce(of['TAMPER'], 0) AS tampered, coalesce(of['running'], 0) AS running, coalesce(tasks, '') AS tasks
   FROM runs LEFT JOIN per_status USING (run_id) LEFT JOIN named USING (run_id)"""
@@ -245,13 +245,41 @@ def latest_done_run(spark, sf):
 
 
 @query("run_trials", W("recorded graded numbered step_counts numbered_steps", f"""
-  SELECT run_id, trial_id, task, trial_no, status, steps, duration, {DETAIL_SQL} AS detail, epoch_us(started_at) AS started
+  SELECT run_id, trial_id, task, trial_no, status, steps, duration, {DETAIL_SQL} AS detail, epoch_us(started_at) AS started, {B.TRIAL_END_SQL} AS finished_at
   FROM numbered_steps"""))
 def run_trials(spark, sf):
     """The trial list of every run (no result column), to be filtered by run and shown by task and number."""
     trials = B.with_steps(B.with_numbers(B.graded(spark, sf)), spark, sf)
     return trials.select("run_id", "trial_id", "task", "trial_no", "status", "steps", "duration",
-                         grading.detail().alias("detail"), B.micros("started_at").alias("started"))
+                         grading.detail().alias("detail"), B.micros("started_at").alias("started"), B.trial_end().alias("finished_at"))
+
+
+PAGE_SQL = f""", latest AS (SELECT run_id FROM runs WHERE run_status = 'done' ORDER BY created_at DESC, run_id LIMIT 1),
+  own AS (SELECT * FROM numbered_steps WHERE run_id IN (FROM latest)),
+  total AS (SELECT run_id, count(*) AS total, count(*) FILTER (WHERE status = 'PASS') AS passed, count(*) FILTER (WHERE status IN ('FAIL', 'TAMPER', 'LIMIT', 'ERROR')) AS failed,
+    count(*) FILTER (WHERE status = 'TAMPER') AS tampered, count(*) FILTER (WHERE status = 'running') AS running, array_to_string(list_sort(list(DISTINCT task)), ', ') AS tasks
+    FROM own GROUP BY run_id)
+  SELECT run_id, model, run_status, created_at, finished_at, base_url, max_steps, limits, coalesce(total, 0) AS total, coalesce(total.passed, 0) AS passed, coalesce(failed, 0) AS failed,
+    coalesce(tampered, 0) AS tampered, coalesce(running, 0) AS running, coalesce(tasks, '') AS tasks, trial_id, task, trial_no, status AS trial_status, steps, duration,
+    {DETAIL_SQL} AS detail, epoch_us(started_at) AS started, {B.TRIAL_END_SQL} AS ended
+  FROM latest JOIN runs USING (run_id) JOIN run_settings USING (run_id) LEFT JOIN total USING (run_id) LEFT JOIN own USING (run_id)"""
+
+
+@query("run_page", W("recorded graded numbered step_counts numbered_steps runs run_settings", PAGE_SQL))
+def run_page(spark, sf):
+    """The page of the latest done run: its record, settings and counts, and its trials by task and number."""
+    runs = B.runs(spark, sf)
+    latest = summaries.recent_runs(runs.where("run_status = 'done'"), 1).select("run_id").first()
+    run_id = latest and latest.run_id
+    # The run's trials alone are numbered, and steps are counted for them alone.
+    own = B.with_numbers(B.graded(spark, sf).where(F.col("run_id") == F.lit(run_id)))
+    steps = (B.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("trial_id")).join(own.select("trial_id"), "trial_id", "left_semi")
+             .groupBy("trial_id").agg(F.count(F.lit(1)).alias("steps")))
+    trials = own.join(steps, "trial_id", "left").select(
+        "run_id", "trial_id", "task", "trial_no", "status", F.coalesce("steps", F.lit(0).cast("bigint")).alias("steps"), "duration",
+        grading.detail().alias("detail"), B.micros("started_at").alias("started"), B.trial_end().alias("ended"))
+    page = summaries.run_page(runs.join(B.run_settings(spark, sf), "run_id"), trials, run_id)
+    return page.withColumn("tasks", F.array_join("tasks", ", ")).withColumn("limits", F.array_join(grading.shown_limits(F.col("limits")), " "))
 
 
 TASK_SQL = """count(*) AS trials, count(*) FILTER (WHERE passed) AS passed,
