@@ -88,6 +88,15 @@ def test_decontamination_matches_brute_force(spark, block_bytes):
     assert decontaminate.contamination(docs.limit(0), spark.createDataFrame(ITEMS, "item_id int, text string")).collect() == []
 
 
+@pytest.mark.parametrize("most", [1, 25, 60, 1000])
+def test_pieces_of_a_large_item_hold_its_windows(most):
+    data = " ".join(f"w{i % 17}" for i in range(90)).encode()
+    cut = decontaminate.pieces(data, 10, most)
+    assert [x for p in cut for x in decontaminate.windows_of(p.split(), 10)] == decontaminate.windows_of(data.split(), 10)
+    assert decontaminate.pieces(b"few words", 10, 3) == [b"few words"] and decontaminate.pieces(b"", 10, 3) == [b""]
+    assert all(len(p) <= max(most, 39) for p in cut)
+
+
 def test_secrets_and_ledger(spark, tmp_path):
     prepare(spark)
     long_ = "é " * 200_000 + "AKIA" + "Z9" * 8

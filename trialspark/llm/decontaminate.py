@@ -2,8 +2,9 @@
 
 Normalising maps bytes to bytes (A-Z to a-z, other ASCII but letters and digits to a blank) and joins words by one
 blank, so that a match's place gives the word it starts at and, through the words' own places, the span in the
-original text. The automaton holds every window of an item's words. A benchmark over BLOCK_BYTES is worked off in
-blocks of that size, each with an automaton of its own, with a written table between blocks.
+original text. The automaton holds every window of an item's words; each Python worker builds it once. A benchmark over
+BLOCK_BYTES is worked off in blocks of that size, each with an automaton of its own, with a written table between blocks;
+an item that is larger is cut into pieces that overlap by all but one word of a window, so that no window is lost.
 """
 
 from __future__ import annotations
@@ -85,21 +86,40 @@ def original_spans(data: bytes, spans: list[list[int]]) -> list[tuple[int, int]]
     """Code point offsets, end exclusive, in the original text of spans of words."""
     import re
 
-    place = [m.span() for m in re.finditer(rb"[^ ]+", data.translate(NORMAL))]
-    return [(len(data[:place[a][0]].decode()), len(data[:place[b - 1][1]].decode())) for a, b in spans]
-
+    import numpy as np
 
-def _blocks(benchmark: DataFrame, item: str, text: str, most: int):
-    """Normalised items in blocks of about `most` bytes; one block is on the driver at a time."""
+    place = [m.span() for m in re.finditer(rb"[^ ]+", data.translate(NORMAL))]
+    points = np.cumsum(np.frombuffer(data, np.uint8) & 0xC0 != 0x80)  # code points up to and with each byte
+    return [(int(points[place[a][0]]) - 1, int(points[place[b - 1][1] - 1])) for a, b in spans]
+
+
+def pieces(data: bytes, window: int, most: int) -> list[bytes]:
+    """A normalised item whole, or in pieces of about `most` bytes that hold all its windows and no others."""
+    if len(data) <= most:
+        return [data]
+    words, out, start = data.split(), [], 0
+    while True:
+        end, size = start, 0
+        while end < len(words) and (end - start < window or size + len(words[end]) < most):
+            size += len(words[end]) + 1
+            end += 1
+        out.append(b" ".join(words[start:end]))
+        if end == len(words):
+            return out
+        start = end - window + 1
+
+
+def _blocks(benchmark: DataFrame, item: str, text: str, window: int, most: int):
+    """Normalised items, or pieces of them, in blocks of about `most` bytes; one block is on the driver at a time."""
     rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("string"), F.col(text).cast("binary"))
     block, size = [], 0
     for name, data in rows.toLocalIterator():
-        data = bytes(data).translate(NORMAL)
-        if block and size + len(data) > most:
-            yield block
-            block, size = [], 0
-        block.append((name, data))
-        size += len(data)
+        for piece in pieces(bytes(data).translate(NORMAL), window, most):
+            if block and size + len(piece) > most:
+                yield block
+                block, size = [], 0
+            block.append((name, piece))
+            size += len(piece)
     yield block
 
 
@@ -118,7 +138,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     hidden, named = aside(docs.select(*[F.col(f"`{c}`") for c in keep]))
     now = hidden.select("*", F.lit(0).cast("long").alias("_n"), F.lit(None).cast("array<array<int>>").alias("_spans"), F.lit(None).cast("array<string>").alias("_items"),
                       F.lit(None).cast("array<array<int>>").alias("_places"))
-    for number, block in enumerate(_blocks(benchmark, item, item_text, block_bytes)):
+    for number, block in enumerate(_blocks(benchmark, item, item_text, window, block_bytes)):
         if number:
             now = written(now, "decontaminate-block")
         now = _scanned(spark, now, keep.index(text), block, window, offsets)
@@ -130,12 +150,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
 
 def _scanned(spark, docs: DataFrame, text_at: int, block, window: int, offsets: bool) -> DataFrame:
     """One block of items looked up in every document, added to what earlier blocks found."""
-    held, names = spark.sparkContext.broadcast(block), docs.columns
+    held, names = spark.sparkContext.broadcast({"items": block}), docs.columns
 
     def run(batches):
         import pyarrow as pa
 
-        built = automaton(held.value, window)
+        own_block = held.value  # a worker keeps it, and with it the automaton, for its next tasks
+        if "built" not in own_block:
+            own_block["built"] = automaton(own_block["items"], window)
+        built = own_block["built"]
         for batch in batches:
             counts, spans, items, places = [], [], [], []
             column = batch.column(text_at).cast(pa.binary()).to_pylist()

@@ -62,7 +62,8 @@ def quality_rules(spark, sf):
 
 CONTAMINATION_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+  '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws,
+  regexp_extract_all(coalesce(text, ''), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ps FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
 starts AS (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS p FROM b WHERE len(ws) > 0),
 runs AS (SELECT DISTINCT item_id, CAST(least(len(ws), 10) AS BIGINT) AS n, array_to_string(ws[p:p + 9], ' ') AS s FROM starts),
@@ -70,18 +71,23 @@ places AS (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS p FROM d),
 met AS (SELECT r, p, n, array_to_string(ws[p:p + n - 1], ' ') AS s FROM places JOIN (SELECT DISTINCT n FROM runs) ON p + n - 1 <= len(ws)),
 hit AS (SELECT r, p, n, item_id FROM met JOIN runs USING (n, s)),
 words AS (SELECT r, count(DISTINCT w) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS w FROM hit) GROUP BY r),
-items AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hit GROUP BY r)
+items AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hit GROUP BY r),
+inside AS (SELECT DISTINCT r, unnest(range(p, p + n)) AS w FROM hit),
+stretch AS (SELECT r, min(w) AS first, max(w) AS last FROM (SELECT r, w, w - row_number() OVER (PARTITION BY r ORDER BY w) AS k FROM inside) GROUP BY r, k),
+spans AS (SELECT r, string_agg((list_sum(list_transform(ps[1:first], lambda x: length(x))) - length(ws[first])) || ':' || list_sum(list_transform(ps[1:last], lambda x: length(x))), ','
+  ORDER BY first) AS spans FROM stretch JOIN d USING (r) GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
-  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(spans, '') AS spans
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r) LEFT JOIN spans USING (r)"""
 
 
 @query("op8_decontaminate", CONTAMINATION_SQL)
 def decontaminate(spark, sf):
-    """Words of every document that lie inside benchmark windows, and the items they come from."""
-    found = decontamination.contamination(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"), offsets=False)
+    """Words of every document that lie inside benchmark windows, where they stand in the text, and the items they come from."""
+    found = decontamination.contamination(table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "benchmark"))
+    place = F.transform(F.coalesce("spans", F.array()), lambda s: F.concat_ws(":", s[0].cast("string"), s[1].cast("string")))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.array_join(place, ",").alias("spans"))
 
 
 MIXING_SQL = r"""
