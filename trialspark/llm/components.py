@@ -17,7 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round points every node's larger neighbours at its smallest neighbour, then every node at the smallest
     of its smaller neighbours, until nothing changes. Minima are pre-aggregated, joins are splittable, every round
-    is a written table. Isolated nodes do not appear; empty input gives no rows; loops and repeats are ignored.
+    is a written table, and so are the minima before they are joined, so that a node of very many links is split.
+    Isolated nodes do not appear; empty input gives no rows; loops and repeats are ignored.
     """
     high, low = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     now = written(edges.where(F.col("u") != F.col("v")).select(high, low).distinct(), "links")
@@ -26,8 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
         before = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        nearest = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(least, "least")
+        large = written(both.where(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        nearest = written(large.groupBy("u").agg(F.min("v").alias("m")), "nearest")
         small = (large.join(nearest, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(nearest.select("u", F.col("m").alias("v"))).distinct())
         now = written(small, "links")
